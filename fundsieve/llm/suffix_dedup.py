@@ -4,7 +4,8 @@ A byte goes if some string of WINDOW bytes that covers it also starts earlier: i
 earlier in the same document. Three steps, each spread over the cluster:
 
 1. Windows are dealt out by their minimizer, the least hash of the GRAM-byte strings inside, so equal windows always
-   meet. Consecutive windows with one minimizer form a stretch, of which only hash and place travel. Equal stretches
+   meet. Consecutive windows with one minimizer at one place form a stretch (in which no window
+   stands twice), of which only hash and place travel. Equal stretches
    are combined before the shuffle (per batch of documents) and after it: all but the first are repeats as a whole.
 2. Only stretches that share their minimizer with an unequal stretch can still hold repeats of another's windows.
    Their bytes are cut out of the documents and brought together by minimizer. Each task holds them in shards, sorts
@@ -69,7 +70,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         least = sliding_min(grams, WINDOW - GRAM + 1)
         begins = np.concatenate([[0], ends[:-1]])
         new = np.ones(n, bool)
-        new[1:] = least[1:] != least[:-1]
+        new[1:] = (least[1:] != least[:-1]) | (grams[: n - 1] == least[:-1])  # or its first place is left behind
         new[begins[begins < n]] = True
         stops = np.unique(np.clip(ends - WINDOW + 1, 0, n))  # the windows from here to the document's end cross it
         new[stops[stops < n]] = True
