@@ -51,7 +51,8 @@ def html_facts(pages: DataFrame, key: str, html: str, name: str = r"<th[^>]*>(.*
 def fact(facts: Column, exact: Sequence[str], contains: Sequence[str] = ()) -> Column:
     """The value of the first exact caption, else of the first caption that contains a word."""
     keys = F.map_keys(facts)
-    some = [F.try_element_at(facts, F.get(F.filter(keys, lambda k, w=w: k.contains(w)), F.lit(0))) for w in contains]
+    holding = lambda w: F.get(F.filter(keys, lambda k: k.contains(w)), F.lit(0))
+    some = [F.try_element_at(facts, holding(w)) for w in contains]
     return F.coalesce(*[F.try_element_at(facts, F.lit(k)) for k in exact], *some)
 
 

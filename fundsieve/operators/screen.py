@@ -35,7 +35,7 @@ def buckets() -> list[dict]:
     out = [bucket("equity_global", "core_global", spec_class="equity", spec_region="global")]
     out += [bucket(f"equity_{r}", spec_class="equity", spec_region=r) for r in REGIONS if r != "global"]
     out.append(bucket("equity_small_cap_value", "small_cap_value", spec_class="equity", spec_region="global", spec_size="small", spec_style="value"))
-    skip = {("global", "small", "value"), ("us", "small", "growth"), ("europe", "mid", "growth")}
+    skip = {("global", "small", "value"), ("us", "small", "growth")}
     for region, sizes in REGIONS.items():
         out += [bucket(f"equity_{region}_{s}_{y}", spec_class="equity", spec_region=region, spec_size=s, spec_style=y) for s in sizes.split() for y in ("blend", "value", "growth") if (region, s, y) not in skip]
     out += [bucket(f"equity_sector_{s}", spec_class="equity", spec_sector=s) for s in SECTORS]
