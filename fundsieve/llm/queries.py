@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, extract, licenses, quality, secrets, simhash, suffix_dedup
+from . import bpe, decontaminate, embedding_dedup, extract, licenses, quality, reference_sql, secrets, simhash, suffix_dedup
 from .common import table
 
 
@@ -104,4 +104,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.SQL, "op5_license_scan": licenses.sql()}
+    return {
+        "op1_secret_scan": reference_sql.secret_spans(),
+        "op2_benchmark_decontamination": decontaminate.SQL,
+        "op3_repeated_bytes": reference_sql.REPEATED_BYTES,
+        "op5_license_scan": licenses.sql(),
+        "op6_embedding_near_dedup": reference_sql.EMBEDDING_LINKS,
+    }
