@@ -1 +1,3 @@
+"""Registered queries."""
 
+from . import catalogue, more  # noqa: F401
