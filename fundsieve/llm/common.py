@@ -41,3 +41,13 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def settled(df: DataFrame, name: str, value) -> DataFrame:
+    """df with a column that is computed once a row.
+
+    The optimizer moves filters below projections and copies what they use; inside a lambda the copy would run once an
+    element. It does not look through a generator, so the value comes out of one that makes one row of each row.
+    """
+    kept = [F.col(c) for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))

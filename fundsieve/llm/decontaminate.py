@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import durable, settled, small
 
 SHINGLE, LEAST = 5, 0.8
 
@@ -32,13 +32,13 @@ def words(text: Column) -> Column:
 def with_shingles(df: DataFrame, text: str, name: str, make, size: int = SHINGLE) -> DataFrame:
     """df with make(words of one shingle) for every shingle of a text; a shorter text is one shingle.
 
-    The words are a column of their own, used several times, so they are cut once a row and not once a shingle.
+    Words and shingles are settled, so that they are made once a row and not once a shingle.
     """
     of = F.col("_words")
     each = F.transform(F.sequence(F.lit(0), F.size(of) - size), lambda i: make(*[F.get(of, i + k) for k in range(size)]))
     short = F.array(make(*[F.get(of, F.lit(k)) for k in range(size)]))
     found = F.when(F.size(of) >= size, each).when(F.size(of) > 0, short).otherwise(F.array().cast(each_type(make)))
-    return df.withColumn("_words", words(F.col(text))).withColumn(name, found).drop("_words")
+    return settled(settled(df, "_words", words(F.col(text))), name, found).drop("_words")
 
 
 def each_type(make) -> str:
@@ -69,8 +69,9 @@ def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_key:
     postings = small(sets.select("item_id", "need", F.explode("sketch").alias("h")), sum(p["rows"] for p in parts))
     # a document's sketch reaches as far as those of the partitions whose smallest item it can hold
     reach = F.greatest(F.lit(-(2**63)), *[F.when(F.col("size") >= p["smallest"], p["top"]) for p in parts]) if parts else F.lit(-(2**63))
-    shingled = with_shingles(docs, "text", "all", hashed).select("doc_id", "all").withColumn("size", F.size("all")).withColumn("reach", reach)
-    sketched = shingled.select("doc_id", "size", F.explode(F.filter("all", lambda h: h <= F.col("reach"))).alias("h"))
+    shingled = with_shingles(docs, "text", "all", hashed).select("doc_id", "all").withColumn("size", F.size("all"))
+    shingled = settled(shingled, "reach", reach)
+    sketched = shingled.select("doc_id", "size", F.explode_outer(F.filter("all", lambda h: h <= F.col("reach"))).alias("h"))
     pairs = durable(sketched.join(postings, "h").where("size >= need").select("doc_id", "item_id").distinct(), "candidates")
     n_items = sum(p["items"] for p in parts)
     wanted = small(pairs, pairs.count()).join(small(sets.select("item_id", F.col("text").alias("item_text"), "need", "n"), n_items), "item_id")
