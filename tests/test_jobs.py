@@ -131,6 +131,15 @@ def test_extraction(spark):
     assert sorted((r.k, r.v, r.outcome) for r in extract.first_success(tries, "k", "o", "v", "s").collect() if r.v) == [(1, 0.3, "ok")]
 
 
+def test_prose_and_markup(spark):
+    docs = spark.createDataFrame([(1, "The fund tracks the MSCI World Index, full replication. It is domiciled in Ireland and holds shares. EUR hedged."), (2, "tracks the weather, no more"), (3, None)], "doc_id long, text string")
+    a, b, c = extract.prose_metadata(docs, "doc_id", "text").orderBy("doc_id").collect()
+    assert tuple(a)[1:] == ("MSCI World Index", "Ireland", "equity", "physical", 1)
+    assert tuple(b)[1:] == tuple(c)[1:] == (None, None, None, None, None)
+    page = spark.createDataFrame([(1, "<tr><td>London</td><td>AB C</td><td>USD</td></tr><tr><td>London</td><td>ABC</td> <td>USD</td></tr><tr><td>Moon</td><td>X</td><td>EUR</td></tr>")], "page_id long, html string")
+    assert [tuple(r) for r in extract.page_listings(page, "page_id", "html", {"london": "XLON"}).collect()] == [(1, "XLON", "ABC", "USD")]
+
+
 def test_feed_with_a_late_header(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Report;x\n\nProduct Status;ISIN;Long Name;Mnemonic;MIC;Currency\nActive;IE00B4L5Y983;\"Fund; \xe4\";AB C;XETR;EUR\nOld;IE00B4L5Y983;F;X;XETR;EUR\nActive;bad;F;X;XETR;EUR\n".encode("latin-1"))
     spec = feeds.FeedSpec(";", "product status", {"status": ["Product Status"], "isin": ["isin"], "instrument_name": ["Name", "Long Name"], "ticker": ["Mnemonic"], "venue_mic": ["MIC Code", "MIC"], "trading_currency": ["Currency"]}, 20, keep={"status": ["active"]})
