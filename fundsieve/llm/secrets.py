@@ -213,9 +213,10 @@ class Scanner:
     def spans(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
         """(start, end, number of the rule) by start, then by the rules' order."""
         finders = [re.compile(quick(x, least, group)).finditer for _, x, least, group in self.rules]
-        whole = pa.concat_arrays([column.cast(pa.large_binary()).fill_null(b"")])
-        offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1) if len(whole) else np.zeros(1, np.int64)
-        index = Postings(np.frombuffer(whole.buffers()[2] or b"", np.uint8)[: offsets[-1]], offsets, self.wanted)
+        whole = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset :][: len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+        data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        index = Postings(data, offsets - offsets[0], self.wanted)
         strings = column.to_pylist()
         found: list[list[tuple[int, int, int]]] = [[] for _ in strings]
         for k, (rule, query) in enumerate(zip(self.rules, self.queries)):

@@ -65,6 +65,15 @@ def test_redaction_covers_every_span(spark):
     assert not any(brute_spans(r.text, secrets.BASE_RULES[1:]) for r in out.values())
 
 
+def test_sliced_blocks_are_scanned_where_they_lie():
+    import pyarrow as pa
+
+    texts = SECRET_TEXTS * 2
+    scanner = secrets.Scanner(secrets.RULES)
+    whole = [[(s, e) for s, e, _ in x] for x in scanner.spans(pa.array(texts))]
+    assert [[(s, e) for s, e, _ in x] for x in scanner.spans(pa.array(texts).slice(3, 9))] == whole[3:12]
+
+
 def brute_fingerprint(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in re.split("[ \t-\r]+", low) if w]
