@@ -32,7 +32,7 @@ from .common import durable
 
 WINDOW, GRAM = 100, 24
 #: Bytes of documents that are hashed at once, and of stretches whose transforms are merged at once.
-HASH_BYTES, MERGE_BYTES, SHARDS = 1 << 20, 1 << 20, 2
+HASH_BYTES, MERGE_BYTES, SHARDS = 1 << 20, 1 << 19, 2
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -161,60 +161,81 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names)
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """All suffixes of strings that end in a terminator (symbol 0) of their own, in order, by prefix doubling."""
+def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of strings that end in a terminator (symbol 0) of their own, in order, and each one's rank.
+
+    Prefix doubling, from as many symbols as fit a word; only suffixes that still tie are sorted again.
+    """
     n = len(text)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    size = 1
+    symbols = text.astype(np.int64) + len(ends)
+    symbols[ends] = np.arange(len(ends))
+    bits = int(257 + len(ends)).bit_length()
+    size = 62 // bits
+    padded = np.concatenate([symbols, np.zeros(size, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(size):
+        key = key << bits | padded[k : k + n]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-size] = rank[size:]
-        key = rank * (n + 257 + len(ends)) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, bool)
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        if fresh.all():
-            return order
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        rank[order[place]] = place[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
+        tied = ~fresh
+        tied[:-1] |= tied[1:]
+        place = place[tied]
+        if not len(place):
+            return order, rank
+        suffix = order[place]
+        key = rank[suffix] * n + rank[suffix + size]
+        moved = np.argsort(key, kind="stable")
+        order[place], key = suffix[moved], key[moved]
         size *= 2
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a shard (0: terminator), its suffix order, and the terminators' places."""
+def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's Burrows-Wheeler transform (0: terminator), where each row's symbol leads, its suffixes, their offsets."""
     text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int16) + 1
-    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
+    sizes = np.array([len(s) + 1 for s in strings])
+    ends = np.cumsum(sizes) - 1
     text[ends] = 0
-    order = suffix_order(text, ends)
-    return text[order - 1], order, ends
+    order, rank = suffix_order(text, ends)
+    offset = np.arange(len(text)) - np.repeat(ends + 1 - sizes, sizes)
+    return text[order - 1], rank[order - 1], order, offset[order]
 
 
-def merged_intervals(shards: list[tuple[np.ndarray, int]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' suffixes by their first `depth` symbols and the number of each one's interval.
+def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of all shards that share their first `depth` bytes with another: their rows, and where intervals begin.
 
-    shards: transform and number of strings. Each round deals the interleave out by the transforms' symbols in a
-    stable way; an interval splits where the symbol or the interval that a suffix comes from differs.
+    shards: transform, leads, offsets. A row is a suffix's place in its shard's order, shards joined. A round deals
+    the interleave out by the transforms' symbols in a stable way, which leads from each suffix to the one before it
+    and makes the order one byte deeper; an interval splits where the symbol or the interval that a suffix comes from
+    differs. Suffixes that begin too early in their string to lead to one of `depth` bytes take no part, and every
+    few rounds those alone in their interval are left: what they lead to is alone as well.
     """
-    sizes = [len(t) for t, _ in shards]
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    top = np.repeat(np.arange(len(shards), dtype=np.uint8), [k for _, k in shards])  # the terminators, always first
-    interval = np.zeros(sum(sizes), np.int32)
-    symbols = np.empty(sum(sizes), np.int16)
-    # bytes are one radix digit; the terminators, which would be the 257th symbol, are set apart
-    for _ in range(depth):
-        for s, (t, _) in enumerate(shards):
-            symbols[interleave == s] = t
-        inner = np.flatnonzero(symbols)
-        digits = (symbols[inner] - 1).astype(np.uint8)
+    base = np.cumsum([0] + [len(t) for t, _, _ in shards])
+    symbols = np.concatenate([t for t, _, _ in shards])
+    leads = np.concatenate([lead + at for (_, lead, _), at in zip(shards, base)]).astype(np.int32)
+    rows = np.flatnonzero(np.concatenate([o for _, _, o in shards]) >= depth)  # the interleave: shard after shard at first
+    digits_of = (symbols - 1).astype(np.uint8)  # terminators are never read
+    begins = np.zeros(len(rows), bool)
+    begins[:1] = True
+    for deep in range(1, depth + 1):
+        if not len(rows):
+            break
+        digits = digits_of[rows]
         moved = np.argsort(digits, kind="stable")
-        source = inner[moved]
-        digits, old = digits[moved], interval[source]
-        split = np.ones(len(source), bool)
-        split[1:] = (digits[1:] != digits[:-1]) | (old[1:] != old[:-1])
-        interleave = np.concatenate([top, interleave[source]])
-        interval = np.concatenate([np.arange(len(top), dtype=np.int32), len(top) - 1 + np.cumsum(split, dtype=np.int32)])
-    return interleave, interval
+        interval = np.cumsum(begins, dtype=np.int32)[moved]
+        digits, rows = digits[moved], leads[rows[moved]]
+        begins = np.ones(len(rows), bool)
+        begins[1:] = (digits[1:] != digits[:-1]) | (interval[1:] != interval[:-1])
+        if deep % 8 == 0 or deep == depth:
+            alone = begins.copy()
+            alone[:-1] &= begins[1:]
+            rows, begins = rows[~alone], begins[~alone]
+    return rows, np.flatnonzero(begins)
 
 
 def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
@@ -223,17 +244,16 @@ def repeated_windows(strings: list[bytes]) -> list[np.ndarray]:
     bounds = [int(np.searchsorted(cut, cut[-1] * k / SHARDS, side="left")) for k in range(1, SHARDS)]
     groups = [g for g in np.split(np.arange(len(strings)), bounds) if len(g)]
     built = [transform([strings[i] for i in g]) for g in groups]
-    interleave, interval = merged_intervals([(t, len(e)) for t, _, e in built], WINDOW)
-    place = np.empty(len(interleave), np.int64)  # of each suffix, in the order of all strings joined
-    base = 0
-    for s, (_, order, _) in enumerate(built):
-        place[interleave == s] = order + base
-        base += len(order)
-    least = np.full(int(interval[-1]) + 1, base, np.int64)
-    np.minimum.at(least, interval, place)
-    again = np.sort(place[place > least[interval]])
-    begins = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
-    return [again[a:b] - begins[k] for k, (a, b) in enumerate(zip(np.searchsorted(again, begins[:-1]), np.searchsorted(again, begins[1:])))]
+    rows, begins = merged_intervals([(t, lead, offset) for t, lead, _, offset in built], WINDOW)
+    bases = np.cumsum([0] + [len(t) for t, _, _, _ in built])
+    place = np.concatenate([order + at for (_, _, order, _), at in zip(built, bases)])[rows]  # in all strings joined
+    if not len(place):
+        return [place] * len(strings)
+    least = np.repeat(np.minimum.reduceat(place, begins), np.diff(np.append(begins, len(place))))
+    again = np.sort(place[place > least])
+    starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
+    cuts = np.searchsorted(again, starts)
+    return [again[a:b] - at for at, a, b in zip(starts, cuts[:-1], cuts[1:])]
 
 
 def runs(starts: np.ndarray) -> list[tuple[int, int]]:

@@ -86,14 +86,21 @@ def test_repeated_rows_stay_and_null_ids_stay(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
-def test_transforms_merge_into_the_sorted_order():
-    strings = [b"banana", b"ananas", b"bandana", b"nab"]
-    built = [suffix_dedup.transform(strings[:2]), suffix_dedup.transform(strings[2:])]
-    interleave, interval = suffix_dedup.merged_intervals([(t, len(e)) for t, _, e in built], 3)
-    suffixes = sorted(((s + b"\0")[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1))
-    assert len(interleave) == len(suffixes)
-    keys = [s[:3] if b"\0" not in s[:3] else (s, k) for s, k in suffixes]
-    assert len(set(keys)) == interval[-1] + 1
+def test_transforms_merge_into_the_intervals_of_shared_prefixes():
+    rnd = random.Random(3)
+    strings = [bytes(rnd.choice(b"ab\x00\xff") for _ in range(rnd.randint(3, 40))) for _ in range(30)]
+    built = [suffix_dedup.transform(strings[:11]), suffix_dedup.transform(strings[11:])]
+    for depth in (1, 3, 6):
+        rows, begins = suffix_dedup.merged_intervals([(t, lead, o) for t, lead, _, o in built], depth)
+        bases = (0, len(built[0][0]))
+        place = np.concatenate([built[k][2] + bases[k] for k in (0, 1)])[rows]
+        got = {frozenset(x.tolist()) for x in np.split(place, begins[1:])}
+        where, at = {}, 0
+        for s in strings:
+            for i in range(len(s) - depth + 1):
+                where.setdefault(s[i : i + depth], set()).add(at + i)
+            at += len(s) + 1
+        assert got == {frozenset(x) for x in where.values() if len(x) > 1}
 
 
 def test_license_scan_on_edges(spark):
