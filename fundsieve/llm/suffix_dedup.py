@@ -13,6 +13,8 @@ earlier in the same document. Three steps, each spread over the cluster:
    interleave: after round h it is the order of all suffixes by their first h bytes, and the boundaries that
    appeared so far are the places where common prefixes are shorter than h. After WINDOW rounds the intervals
    between boundaries are the repeated windows; suffixes are never sorted again.
+   A minimizer that more than CROWD unequal stretches share is no single task's work: their windows are dealt out one
+   by one by a 128-bit hash of their bytes, with a grouped minimum in place of the transforms.
 3. The repeats of a document are gathered by its id and cut out of its text.
 
 Defined results: a null text is empty. A null doc_id has nothing removed and is earlier than nothing. Repeated
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 
 WINDOW, GRAM = 100, 24
 #: Bytes of documents that are hashed at once, and of stretches whose transforms are merged at once.
 HASH_BYTES, MERGE_BYTES, SHARDS = 1 << 20, 1 << 19, 2
+#: Unequal stretches of one minimizer that one task still merges; more go window by window.
+CROWD = 20_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -287,6 +291,55 @@ def _merge_batches(batches):
         yield work(rows)
 
 
+def cut_out(docs: DataFrame, places: DataFrame, make, schema: str) -> DataFrame:
+    """make(batches of doc_id, text_hash, text, places) over the documents that have places; a document's places stay with it."""
+    cuts = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows", "minimizer")).alias("cuts"))
+    return docs.join(cuts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "cuts").mapInArrow(make, schema)
+
+
+PIECES = "doc_id long, text_hash int, start int, minimizer long, content binary"
+WINDOWS = "doc_id long, text_hash int, start int, h1 long, h2 long"
+
+
+def _cuts(b):
+    """doc_id, text_hash, start, minimizer and bytes of each place of a batch."""
+    for doc, text_hash, text, cuts in zip(*[b.column(i).to_pylist() for i in range(4)]):
+        raw = text.encode("utf-8", "surrogatepass")
+        for c in cuts:
+            yield doc, text_hash, c["start"], c["minimizer"], raw[c["start"] : c["start"] + c["windows"] + WINDOW - 1]
+
+
+def _pieces(batches):
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    for b in batches:
+        out = list(_cuts(b))
+        for k in range(0, len(out), 5000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out[k : k + 5000]), kinds)], [x.split()[0] for x in PIECES.split(", ")])
+
+
+def _window_hashes(batches):
+    """A 128-bit hash of every window of the places."""
+    for b in batches:
+        for doc, text_hash, start, _, raw in _cuts(b):
+            data, n = np.frombuffer(raw, np.uint8), len(raw) - WINDOW + 1
+            halves = []
+            with np.errstate(over="ignore"):
+                for odd in (PRIME, PRIME * np.uint64(3)):
+                    h = mix(data.astype(np.uint64) * odd + odd)
+                    powers = np.cumprod(np.full(WINDOW, odd))[::-1]
+                    halves.append(mix((np.lib.stride_tricks.sliding_window_view(h, WINDOW) * powers).sum(axis=1, dtype=np.uint64)).view(np.int64))
+            columns = [np.full(n, doc, np.int64), np.full(n, text_hash, np.int32), np.arange(start, start + n, dtype=np.int32), *halves]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [x.split()[0] for x in WINDOWS.split(", ")])
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """Windows that are not the first of their hash, by a grouped minimum and a join that can be split."""
+    windows = durable(windows, "windows")
+    place = F.struct("doc_id", "start", "text_hash")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    return windows.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "text_hash", "start", F.lit(1).alias("windows"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, start, windows: runs of windows that start earlier elsewhere too."""
     places = docs.where("doc_id is not null").select("doc_id", "text_hash", "text").mapInArrow(_place_batches, PLACES)
@@ -295,18 +348,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     dealt = places.withColumn("key", key).repartition("key").sortWithinPartitions("minimizer", "content", "doc_id", "start", "text_hash").drop("key")
     met = durable(dealt.mapInArrow(_meet, PLACES), "stretches")
     known = met.where("repeat").select("doc_id", "text_hash", "start", "windows")
-    open_ = met.where("not repeat").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows", "minimizer")).alias("cuts"))
-
-    def cut(batches):
-        for b in batches:
-            out = [(d, h, c["start"], c["minimizer"], t[c["start"] : c["start"] + c["windows"] + WINDOW - 1]) for d, h, text, cuts in zip(*[b.column(i).to_pylist() for i in range(4)]) for t in [text.encode("utf-8", "surrogatepass")] for c in cuts]
-            for k in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out[k : k + 5000]), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "text_hash", "start", "minimizer", "content"])
-
-    pieces = docs.join(open_, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "cuts").mapInArrow(cut, "doc_id long, text_hash int, start int, minimizer long, content binary")
-    sorted_ = pieces.repartition("minimizer").sortWithinPartitions("minimizer", "doc_id", "start")
+    open_ = met.where("not repeat").select("doc_id", "text_hash", "start", "windows", "minimizer")
+    crowds = durable(open_.groupBy("minimizer").count().where(F.col("count") > CROWD).select("minimizer"), "crowds")
+    n_crowds = crowds.count()
+    calm = cut_out(docs, open_.join(small(crowds, n_crowds), "minimizer", "left_anti"), _pieces, PIECES)
+    sorted_ = calm.repartition("minimizer").sortWithinPartitions("minimizer", "doc_id", "start")
     found = sorted_.mapInArrow(_merge_batches, "doc_id long, text_hash int, start int, windows int")
-    return durable(known.unionByName(found), "repeats")
+    found = known.unionByName(found)
+    if n_crowds:
+        found = found.unionByName(later_windows(cut_out(docs, open_.join(small(crowds, n_crowds), "minimizer", "left_semi"), _window_hashes, WINDOWS)))
+    return durable(found, "repeats")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

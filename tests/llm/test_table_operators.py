@@ -62,8 +62,9 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("batch", [10_000, 7])
-def test_repeated_bytes_equal_brute_force(spark, batch):
+@pytest.mark.parametrize("batch, crowd", [(10_000, 20_000), (7, 20_000), (10_000, 3)])
+def test_repeated_bytes_equal_brute_force(spark, monkeypatch, batch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rnd = random.Random(4)
     say = lambda n: "".join(rnd.choice("abcdeé \n") for _ in range(n))
     shared = [say(n) for n in (99, 100, 101, 150, 400, 1500)]
