@@ -175,8 +175,10 @@ def shortlist(funds: DataFrame, specs: Sequence[dict] | None = None, selected: S
     tried = F.broadcast(spec_df.join(ladder_df, "bucket"))  # a row for each bucket and attempt
     commodity = F.col("spec_class") == "commodity"
     base = funds.withColumn("_match", T.name_for_match(F.col("instrument_name")))
-    # every row meets the small table of attempts through its venue
-    rows = base.join(tried.withColumn("primary_venue", F.explode("venues")), "primary_venue")
+    # every row meets the small table of attempts through its venue and its class; cash also takes proxies
+    money = (F.coalesce("cash_flag", F.lit(0)) == 1) | (F.coalesce("cash_proxy_flag", F.lit(0)) == 1) | (F.lower("asset_class") == "bond")
+    classes = F.array_distinct(F.array_compact(F.array(F.lower("asset_class"), F.when(money, "cash"))))
+    rows = base.withColumn("spec_class", F.explode_outer(classes)).join(tried.withColumn("primary_venue", F.explode("venues")), ["primary_venue", "spec_class"])
     rows = rows.where(matches()).withColumn("failed", reasons(hard_tests(commodity, F.col("allow_fees"), allow_missing_currency))).where(F.size("failed") == 0)
     rows = rows.withColumn("preference", preference())
     w = Window.partitionBy("bucket", "attempt").orderBy(*rank_keys(currency_order(currencies)))

@@ -106,7 +106,7 @@ def assign_ids(names: DataFrame, name: str, id_: str, existing: DataFrame) -> Da
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("_start", before).drop("_n")  # one row a partition
     numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(name)))
-    out = numbered.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(top))  # one row
+    out = numbered.join(F.broadcast(starts), "_part").withColumn("_k1", F.lit(1)).join(F.broadcast(top.withColumn("_k1", F.lit(1))), "_k1")
     return known.unionByName(out.select(name, (F.col("_top") + F.col("_start") + F.col("_k")).cast("long").alias(id_)))
 
 
