@@ -113,7 +113,7 @@ def refresh_profile(spark: SparkSession, catalog: Catalog) -> DataFrame:
     newest = lambda rank, id_: F.struct(F.lit(rank).alias("log"), (-F.unix_date(F.try_to_date("asof_date"))).alias("d"), (-F.col(id_)).alias("i")).alias("o")
     log = meta.select("instrument_id", newest(0, "id"), *of(F.col("raw_json"), F.col("ter"), F.col("use_of_income"))).unionByName(cost.select("instrument_id", newest(1, "cost_id"), *of(F.col("raw_json"), F.lit(None).cast("double"), none)))
     merged = L.coalesce_by_precedence(log, "instrument_id", F.col("o"), list(PROFILE))
-    merged = merged.join(inst.select("instrument_id", "isin"), "instrument_id", "left").withColumn("domicile_country", F.coalesce("domicile_country", X.by_prefix(F.col("isin"), X.DOMICILES))).drop("isin")
+    merged = merged.join(inst.select("instrument_id", "isin"), "instrument_id", "left").withColumn("domicile_country", F.coalesce("domicile_country", X.by_prefix(F.col("isin"), X.PROFILE_DOMICILES))).drop("isin")
     return M.merge_profile(table(spark, catalog, "product_profile").select("instrument_id", *PROFILE), merged, "instrument_id", list(PROFILE), [c for c in PROFILE if not c.startswith("fund_size")])
 
 

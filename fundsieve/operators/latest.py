@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Quality flags of cost rows that count as accepted.
-ACCEPTED_FLAGS = ("ok", "partial", "issuer_fee_ok", "amundi_factsheet_ok", "ishares_factsheet_ok", "ishares_product_page_ok", "gold_fee_ok", "avantis_kid_ok")
+ACCEPTED_FLAGS = ("ok", "partial", "issuer_page_ok", "amundi_factsheet_ok", "avantis_kid_ok", "wisdomtree_kid_ok", "invesco_kid_ok", "lse_ter_ok")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:

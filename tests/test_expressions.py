@@ -19,7 +19,7 @@ def one(spark, values, make):
         (T.isin_norm, {" ie00b4l5y983": "IE00B4L5Y983", "IE00B4L5Y98": None}),
         (T.isin_ok, {"IE00B4L5Y983": True, "IE00B4L5Y984": False, "US0378331005": True, "x": False}),
         (T.currency_norm, {"GBp": None, "GBX": None, "usd": "USD", "E UR": "EUR", "EURO": None}),
-        (T.clean_issuer, {"Acme Funds plc": "Acme Funds", "Acme S.A. Ltd.": "Acme", "plc": "plc"}),
+        (T.clean_issuer, {"Acme Funds plc": "Acme Funds", "Acme SA, Ltd.": "Acme", "Acme Co. Limited": "Acme", "plc": "plc"}),
         (T.to_flag, {"Yes": 1, "0": 0, "maybe": None}),
         (T.to_number_loc, {"1.234,5": 1234.5, "1,234.5": 1234.5, "1,234": 1234.0, "0,5": 0.5, "7": 7.0, "x": None}),
         (T.to_iso_date, {"03/03/2026": "2026-03-03", "2026-01-02": "2026-01-02", "soon": "soon"}),
@@ -31,6 +31,7 @@ def one(spark, values, make):
         (T.url_lang, {"https://a.b/en-gb/x": "en", "https://a.b/zz/": None}),
         (T.first_date, {"on 03.02.2026 and": "03.02.2026", "no": None}),
         (lambda c: T.by_prefix(c, T.DOMICILES), {"DE000": "Germany", "XX0": None}),
+        (T.compliant_by_name, {"World UCITS ETF": 1, "World U.ETF": 1, "World UE ACC": 1, "World ETF": None}),
         (lambda c: T.type_flags(c)["instrument_type"], {"Gold ETC": "ETC", "World": "ETF", "": "UNKNOWN"}),
         (lambda c: T.type_flags(c)["inverse_flag"], {"S&P 2x Daily": 1, "S&P Short": 1, "S&P": 0}),
         (lambda c: T.to_amount(c)["value"], {"102.95bn GBP As of Feb 28 2026": 102.95e9, "5m EUR": 5e6}),
