@@ -131,3 +131,19 @@ def resolve_flag(snapshot: Column, by_name: Column, existing: Column) -> tuple[C
     value = F.coalesce(snapshot, by_name, existing)
     source = F.when(snapshot.isNotNull(), "snapshot").when(by_name.isNotNull(), "name_pattern").when(existing == 1, "legacy_seed")
     return value, source
+
+
+def normalize_issuers(issuer: DataFrame, known: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """issuer_id, issuer_name, normalized_name, domain, target_id: canonical names of known issuers, cleaned ones else.
+
+    The first rule whose words stand in the name counts. Issuers of one canonical name point to the smallest id; the
+    domain of others is cleared.
+    """
+    from ..functions.text import clean_issuer, first_match
+
+    up = F.upper("issuer_name")
+    rows = issuer.select("issuer_id", "issuer_name", first_match([(up.rlike(w), n) for n, _, w in known]).alias("canonical"))
+    domain = first_match([(F.col("canonical") == n, d) for n, d, _ in known])
+    least = rows.where("canonical is not null").groupBy("canonical").agg(F.min("issuer_id").alias("target_id"))
+    out = rows.join(F.broadcast(least), "canonical", "left")  # a row for each known issuer
+    return out.select("issuer_id", "issuer_name", F.coalesce("canonical", clean_issuer(F.col("issuer_name"))).alias("normalized_name"), domain.alias("domain"), F.coalesce("target_id", "issuer_id").alias("target_id"))

@@ -83,6 +83,17 @@ def test_bucket_and_attempt_catalogues(spark):
     assert screen.readiness(mix, picked).first().fewest == 0
 
 
+def test_named_strategies_and_issuers(spark):
+    from fundsieve.functions import presets
+
+    mixes = screen.strategies(spark, presets.STRATEGIES)
+    sums = {r.strategy: r.s for r in mixes.groupBy("strategy").agg(F.sum("weight").alias("s")).collect()}
+    assert len(sums) == 20 and set(sums.values()) == {100.0}
+    issuers = spark.createDataFrame([(5, "iShares VII plc"), (3, "BlackRock Fund AG"), (9, "Small House Ltd."), (1, None)], "issuer_id long, issuer_name string")
+    got = {r.issuer_id: (r.normalized_name, r.domain, r.target_id) for r in state.normalize_issuers(issuers, presets.ISSUERS).collect()}
+    assert got == {5: ("BlackRock / iShares", "ishares.com", 3), 3: ("BlackRock / iShares", "ishares.com", 3), 9: ("Small House", None, 9), 1: (None, None, 1)}
+
+
 def test_universe_and_reasons(spark):
     inst = spark.createDataFrame([(1, "ETF", 1, 0, 0), (2, "ETC", 1, 0, 0), (3, "ETF", None, 0, 0), (4, "ETF", 1, 0, None)], "instrument_id long, instrument_type string, ucits_flag int, leverage_flag int, inverse_flag int")
     lst = spark.createDataFrame([(1, 1, None, "XLON", "A", None), (2, 1, "active", "XLON", "B", "USD"), (4, 1, "active", "XETR", "C", "JPY")], "instrument_id long, primary_flag int, status string, venue_mic string, ticker string, trading_currency string")
