@@ -14,17 +14,25 @@ those that share one differ in two bits at most), which costs 65 rows a fingerpr
 Defined results: a null text is empty and has the fingerprint zero, as has a text without words. Repeated rows and
 repeated ids have the same fingerprint and so the same component. A null id is no component's smallest id; a
 component with null ids only has a null component_id. Extra columns are not read. Empty tables give empty tables.
+
+similar() is the pipeline's setting: sets of five-word shingles and Jaccard similarity 0.8. Such sets differ in 15 % of
+a SimHash's bits, 10 of 64, which no exact keys cover, so its SimHash has 256 bits and many tables of keys. A key is
+the Golay codeword of 23 bits with as many plain bits as keep keys small; the number of tables follows from an expected
+recall of 0.995 at the similarity. Pairs that meet are verified on the shingles of the texts.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -33,6 +41,11 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 CROWD = 64
 #: Generator polynomial of the (23,12) Golay code.
 GENERATOR = 0b101011100011
+#: The setting of similar(): words of a shingle, Jaccard similarity, bits of its SimHash and expected recall.
+STAGE_SHINGLE, LEAST, WIDE, RECALL = 5, 0.8, 256, 0.995
+#: Neighbours of a key that a vertex is paired with; bits of the first 64 and of all in which a pair may differ before
+#: its texts are compared (10 and 39 are expected at the similarity, 12 and 48 for the shortest texts that can reach it).
+NEXT, FIRST_BITS, ALL_BITS = 8, 24, 80
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -134,6 +147,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links at `bits` (two) or fewer differing bits reach."""
+    if bits > BITS:
+        raise ValueError(f"the keys cover {BITS} differing bits, not {bits}")
     marked = durable(fingerprints(docs, key, text), "simhash")
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     found = components(links(classes, bits))
@@ -141,3 +156,151 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def wide_fingerprint(text: str | None) -> tuple[bytes, bytes]:
+    """A digest of a text's set of word shingles, empty without words, and its SimHash of WIDE bits."""
+    h = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), SEED) for s in word_shingles(text)], np.uint64)
+    if not len(h):
+        return b"", bytes(WIDE // 8)
+    h.sort()
+    out = []
+    for j in range(WIDE // 64):
+        x = h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(x), 4096):
+            counts += np.unpackbits(x[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * counts > len(x), bitorder="little").tobytes())
+    return xxhash.xxh3_128_digest(h.tobytes()), b"".join(out)
+
+
+def word_shingles(text: str | None) -> set[str]:
+    r"""The distinct runs of STAGE_SHINGLE \w+ words in lower case; a shorter text is one shingle."""
+    ws = re.findall(r"\w+", (text or "").lower())
+    return {" ".join(ws[i : i + STAGE_SHINGLE]) for i in range(max(len(ws) - STAGE_SHINGLE + 1, min(len(ws), 1)))}
+
+
+def key_plan(vertices: int, least: float) -> tuple[int, int]:
+    """Plain bits of a key, so that a key has about one vertex by chance, and tables for the expected RECALL at `least`.
+
+    Two sets of Jaccard similarity `least` differ in each bit with the probability `off` at most. A table finds them if
+    a codeword and the plain bits agree.
+    """
+    plain = max(0, (max(vertices, 1) - 1).bit_length() - 12)
+    off = math.acos(2 * least / (1 + least)) / math.pi
+    table = corrections()
+    # a cell of the code is its 2048 errors; a difference keeps a word in its cell if it leads to another of them
+    weights = np.bitwise_count(table)
+    apart = np.bitwise_count(table[:, None] ^ table[None, :])
+    assert weights.max() == 3
+    met = float(np.sum(off ** apart.astype(float) * (1 - off) ** (23.0 - apart))) / 2048 * (1 - off) ** plain
+    return plain, 1 if met >= 1 else max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - met)))
+
+
+def table_keys(classes: DataFrame, plain: int, tables: int) -> DataFrame:
+    """key, id, f: a key of every table for each vertex, and the first 64 bits of its fingerprint."""
+
+    def run(batches):
+        code = corrections()
+        rnd = np.random.default_rng(SEED)
+        picks = [rnd.permutation(WIDE)[: 23 + plain] for _ in range(tables)]
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                ids = b.column(0).slice(at, 1000).to_numpy()
+                raw = np.frombuffer(b"".join(b.column(1).slice(at, 1000).to_pylist()), np.uint8).reshape(len(ids), -1)
+                f = np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()
+                bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+                for t, pick in enumerate(picks):
+                    word = bits[:, pick[:23]] @ (1 << np.arange(23))
+                    more = bits[:, pick[23:]] @ (1 << np.arange(plain)) if plain else np.zeros(len(ids), np.int64)
+                    key = (np.int64(t) << 44) | codeword(word, code) << plain | more
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(f)], ["key", "id", "f"])
+
+    return classes.select("id", "fp").mapInArrow(run, "key long, id long, f long")
+
+
+def met_pairs(keys: DataFrame) -> DataFrame:
+    """u, v: vertices of one key, each with the NEXT before it by id and with the key's first, near in 64 bits."""
+
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        key0, id0, f0 = none, none, none
+        lead = None  # key, id and bits of the first of the run that goes on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = len(key0)
+            key, ids, f = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate((key0, id0, f0)))
+            n = len(key)
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0))
+            first_id, first_f = ids[start], f[start]
+            if lead and lead[0] == key[0]:
+                first_id[start == 0], first_f[start == 0] = lead[1:]
+            found = [(ids[old:], first_id[old:], f[old:] ^ first_f[old:])]
+            for k in range(1, NEXT + 1):
+                i = np.arange(max(old, k), n)
+                i = i[key[i] == key[i - k]]
+                found.append((ids[i], ids[i - k], f[i] ^ f[i - k]))
+            u, v, x = map(np.concatenate, zip(*found))
+            near = (np.bitwise_count(x.view(np.uint64)) <= FIRST_BITS) & (u != v)
+            both = np.unique(np.stack([np.maximum(u[near], v[near]), np.minimum(u[near], v[near])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+            lead = (key[-1], first_id[-1], first_f[-1])
+            key0, id0, f0 = key[-NEXT:], ids[-NEXT:], f[-NEXT:]
+
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "u long, v long").distinct()
+
+
+def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose whole fingerprints differ in ALL_BITS or fewer."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for i in (2, 3))
+            kept = np.bitwise_count(x ^ y).sum(axis=1) <= ALL_BITS
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(kept))
+
+    of = lambda name: classes.select(F.col("id").alias(name), F.col("fp").alias(f"{name}_fp"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_fp", "v_fp").mapInArrow(run, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs of ids whose texts have shingle sets of the similarity `least` or more."""
+
+    def run(batches):
+        for b in batches:
+            kept = []
+            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                s, t = word_shingles(s), word_shingles(t)
+                common = len(s & t)
+                kept.append(common >= least * (len(s) + len(t) - common))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = durable(docs.join(small(ids, ids.count()), "id", "left_semi").select("id", "text"), "texts")
+    of = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+
+
+def similar(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that links of shingle similarity `least` or more reach; no null ids.
+
+    Ids are vertices, so rows that share one are together; texts with the same shingles, or without any, are linked.
+    """
+
+    def run(batches):
+        for b in batches:
+            made = [wide_fingerprint(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["id", "shingles", "fp"])
+
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
+    marked = durable(docs.mapInArrow(run, "id long, shingles binary, fp binary"), "wide")
+    classes = durable(marked.groupBy("shingles", "fp").agg(F.min("id").alias("first")), "classes")
+    same = marked.join(classes, ["shingles", "fp"]).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    worded = classes.where(F.length("shingles") > 0).select(F.col("first").alias("id"), "fp")
+    met = durable(met_pairs(table_keys(worded, *key_plan(worded.count(), least))), "met")
+    found = components(verified(durable(near_pairs(met, worded), "near-pairs"), docs, least).unionByName(same))
+    return marked.select(F.col("id").alias("doc_id")).distinct().join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

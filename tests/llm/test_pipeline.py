@@ -60,3 +60,41 @@ def test_an_empty_corpus_passes_through(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/none-{k}")
         docs = spark.read.parquet(f"{tmp_path}/none-{k}")
     assert docs.count() == 0
+
+
+def test_near_copies_of_similarity_four_fifths_go(spark, tmp_path):
+    rnd = random.Random(4)
+    say = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    rows, copies = [], set()
+    for n in range(150):
+        words = say(rnd.randint(60, 300))
+        other = words[:]
+        # a word changed takes five shingles of each side: the similarity is from 0.8 to 0.97, or just below 0.7
+        changed = max(1, round(len(words) * (rnd.uniform(0.003, 0.02) if n % 3 else 0.045)))
+        for at in range(changed):
+            other[10 + at * (len(words) - 20) // changed] = "changed" + str(n)
+        alike = len(shingles(words) & shingles(other)) / len(shingles(words) | shingles(other))
+        copies |= {1000 + n} if alike >= 0.8 else set()
+        rows += [(n, " ".join(words), "en", "s", 1), (1000 + n, " ".join(other).upper(), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert 90 <= len(copies) <= 110 and kept == {r[0] for r in rows} - copies
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark):
+    from fundsieve.llm import simhash
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(w if i != 20 + k % 150 else f"x{k}" for i, w in enumerate(words)) for k in range(400)] + ["", None, "one two", "One  two!"]
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(None, "one two")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame).collect()}
+    assert got == {i: 0 for i in range(400)} | {400: 400, 401: 400, 402: 402, 403: 402}
+    assert simhash.similar(frame.where("false")).count() == 0
+
+
+def test_bits_beyond_the_golay_keys_are_refused(spark):
+    from fundsieve.llm import simhash
+
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), bits=3)
