@@ -40,9 +40,18 @@ BASE_RULES = (
     ("access", "AKIA[A-Z0-9]+", 20, 0),
     ("hex", "[0-9a-f]+", 24, 0),
 )
+#: What may stand between the runs of a key: line ends as they are or escaped, quotes, marks of comments.
+BETWEEN = r"(?:\\[nrt]|[^A-Za-z0-9])"
+#: A private key from BEGIN through END, up to which no other run of five hyphens stands; without END the base64 runs
+#: that follow, the last of which may be short, and a short one only if it starts the next line.
+PRIVATE_KEY = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:\s+(?:Proc-Type|DEK-Info):[^\n]*)*(?:{BETWEEN}{{1,64}}[A-Za-z0-9+/]{{20,}}={{0,2}})+(?:(?:\\[nrt]|[^A-Za-z0-9\n])*\n?(?:\\[nrt]|[^A-Za-z0-9\n])*[A-Za-z0-9+/]+={{0,2}})?"
+    r"|[\x20\t\r]*(?:\n|\\n)[\x20\t]*[A-Za-z0-9+/]+={0,2})?"
+)
 #: Public formats of further credentials.
 MORE_RULES = (
-    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("private_key", PRIVATE_KEY, 0, 0),
     ("forge", "gh[oprsu]_[A-Za-z0-9]+", 40, 0),
     ("chat", "xox[abprs]-[A-Za-z0-9-]+", 20, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, 0),
