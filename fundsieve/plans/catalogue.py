@@ -242,8 +242,16 @@ def payload_extract(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", T.json_first(F.col("props"), ["none", "k"]).cast("long").alias("k"), T.flatten_payload(payload, "x").alias("field"))
 
 
-NAME_RULES = R.by_words(("warm", "RED|HOT|ORANGE"), ("cold", "BLUE|COLD|GREEN"), ("little", "SMALL|MINI|TINY"))
-PART_RULES = R.by_words(("ring", "RINGS?"), ("gear", "GEARS?|BOLTS?"), ("widget", "WIDGET"))
+NAME_RULES = R.word_rules("""
+warm: RED, HOT, ORANGE
+cold: BLUE, COLD, GREEN
+little: SMALL, MINI, TINY
+""")
+PART_RULES = R.word_rules("""
+ring: RINGS?
+gear: GEARS?, BOLTS?
+widget: WIDGET
+""")
 
 
 def classified(spark, sf_dir) -> DataFrame:

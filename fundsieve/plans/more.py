@@ -198,7 +198,45 @@ def newest_outliers(spark, sf_dir):
     return newest.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") > 45).alias("outliers"))
 
 
-#: Fund-like names for parts, by type and brand: the tables hold no funds.
+#: How the words of a part's columns read in a fund's name; the tables hold no funds. Brand, type, adjective, noun.
+PLACES = ("MSCI WRLD", "U.S.", "CANADA", "MEXICO", "ATX", "FRANCE", "SWITIT9", "AEX", "SOFIX", "CROBEX", "CZECH", "BUX", "MBI10", "WIG20", "SLOVAKIA", "SBI TOP", "BELEX", "IBEX", "U.K.", "BRAZIL", "MSCI AUST", "NIK400", "KUWAIT", "HANG SENG", "EM.EQ")
+KINDS = {"STANDARD": "EQ", "ECONOMY": "GO.BD", "PROMO": "HY BD", "SMALL": "T-BILL", "LARGE": "PLATINUM", "MEDIUM": "MULTI ASSET"}
+TRAITS = {"hot": "MOMENTUM", "cold": "LOW VOL", "red": "GROWTH", "blue": "VAL", "small": "SMLL CAP", "large": "LARGE CAP", "old": "DIVIDEND", "new": "QUALITY"}
+TOPICS = {"ring": "SEMICONDUCTR", "gear": "INSURANCE", "widget": "UTILITIES", "bolt": "MATERIALS", "plate": "REITS", "anvil": "HYDROGEN", "gizmo": "ROBOTICS", "rod": "DECRB"}
+
+
+def part_names(spark, sf_dir):
+    """A fund-like name for each part, from its brand, type, name and size."""
+    of = lambda c, names: F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), c)
+    brand, low = F.element_at(F.split("p_brand", "#"), 2), F.col("p_size") % 12
+    term = F.concat(low.cast("string"), F.lit("-"), (low + F.col("p_size") % 5).cast("string"), F.lit("Y"))
+    first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.concat_ws(" ", of(brand, {str(i + 1): p for i, p in enumerate(PLACES)}), of(F.col("p_type"), KINDS), of(first, TRAITS), of(last, TOPICS), term)
+    return t(spark, sf_dir, "part").select("p_partkey", name.alias("instrument_name"), F.lit("ETF").alias("instrument_type"))
+
+
+@query(
+    """WITH place(brand, country, region) AS (VALUES ('Brand#1', NULL, 'global'), ('Brand#2', 'United States', 'us'), ('Brand#3', 'Canada', 'north_america'), ('Brand#4', 'Mexico', 'em'), ('Brand#5', 'Austria', 'europe'),
+    ('Brand#6', 'France', 'europe'), ('Brand#7', 'Switzerland', 'europe'), ('Brand#8', 'Netherlands', 'europe'), ('Brand#9', 'Bulgaria', 'europe'), ('Brand#10', 'Croatia', 'europe'), ('Brand#11', 'Czech Republic', 'europe'),
+    ('Brand#12', 'Hungary', 'europe'), ('Brand#13', 'North Macedonia', 'europe'), ('Brand#14', 'Poland', 'europe'), ('Brand#15', 'Slovakia', 'europe'), ('Brand#16', 'Slovenia', 'europe'), ('Brand#17', 'Serbia', 'europe'), ('Brand#18', 'Spain', 'europe'),
+    ('Brand#19', 'United Kingdom', 'europe'), ('Brand#20', 'Brazil', 'em'), ('Brand#21', 'Australia', 'asia'), ('Brand#22', 'Japan', 'asia'), ('Brand#23', 'Kuwait', 'em'), ('Brand#24', 'China', 'asia'), ('Brand#25', NULL, 'em')),
+    kind(p_type, asset_class, bond_type, cash, govt, commodity_type) AS (VALUES ('STANDARD', 'equity', NULL, 0, 0, NULL), ('ECONOMY', 'bond', 'govt', 0, 1, NULL), ('PROMO', 'bond', 'corp', 0, 0, NULL), ('SMALL', 'cash', NULL, 1, 0, NULL), ('LARGE', 'commodity', NULL, 0, 0, 'precious_metals'), ('MEDIUM', 'multi', NULL, 0, 0, NULL)),
+    trait(a, factor, equity_size, equity_style) AS (VALUES ('hot', 'momentum', NULL, NULL), ('cold', 'minimum_volatility', NULL, NULL), ('red', NULL, NULL, 'growth'), ('blue', NULL, NULL, 'value'), ('small', NULL, 'small', NULL), ('large', NULL, 'large', NULL), ('old', 'dividend_income', NULL, NULL), ('new', 'quality', NULL, NULL)),
+    topic(b, sector, theme) AS (VALUES ('ring', 'technology', NULL), ('gear', 'financials', NULL), ('widget', 'utilities', NULL), ('bolt', 'materials', NULL), ('plate', 'real_estate', NULL), ('anvil', NULL, 'hydrogen'), ('gizmo', NULL, 'robotics'), ('rod', NULL, 'green_deal')),
+    n AS (SELECT *, p_size % 12 AS low, p_size % 12 + p_size % 5 AS high, asset_class IN ('bond', 'cash') AS dated FROM part JOIN place ON p_brand = brand JOIN kind USING (p_type) JOIN trait ON a = split_part(p_name, ' ', 1) JOIN topic ON b = split_part(p_name, ' ', 2))
+    SELECT p_partkey, asset_class, CASE WHEN country IS NOT NULL THEN 'country' WHEN region = 'global' THEN 'global' ELSE 'regional' END AS geography_scope, region AS geography_region, country AS geography_country, equity_size, equity_style, factor, sector, theme, bond_type,
+    CASE WHEN NOT dated THEN NULL WHEN low >= 10 THEN 'long' WHEN high <= 3 THEN 'short' ELSE 'intermediate' END AS duration_bucket, CASE WHEN dated THEN low::DOUBLE END AS duration_years_low, CASE WHEN dated THEN high::DOUBLE END AS duration_years_high,
+    commodity_type, cash AS cash_flag, govt AS govt_bond_flag, CASE WHEN asset_class = 'equity' THEN CASE WHEN sector IS NOT NULL THEN 'sector' WHEN region = 'north_america' THEN 'us' ELSE region END END AS equity_region FROM n"""
+)
+def fund_taxonomy(spark, sf_dir):
+    """Names classified by all cascades, with the old region of equity."""
+    tax = K.classify(part_names(spark, sf_dir), "2026-01-01", ("p_partkey",))
+    old = K.equity_region(F.col("geography_region"), F.col("geography_country"), F.col("sector"))
+    shown = ("p_partkey", "asset_class", "geography_scope", "geography_region", "geography_country", "equity_size", "equity_style", "factor", "sector", "theme", "bond_type", "duration_bucket", "duration_years_low", "duration_years_high", "commodity_type", "cash_flag", "govt_bond_flag")
+    return tax.select(*shown, F.when(F.col("asset_class") == "equity", old).alias("equity_region"))
+
+
+#: Fund-like names for parts, dealt by key, of the shortlist and the gold policy.
 NAMES = ("MSCI World", "MSCI USA Small Cap Value", "Euro Govt Bond 7-10yr", "US Treasury 20+ Year Bond", "Physical Gold", "Gold Miners", "Global Corp Bond EUR Hedged", "Robotics and AI", "Money Market Overnight", "Emerging Markets Dividend", "S&P 500", "Broad Commodities")
 
 
@@ -210,16 +248,6 @@ def funds(spark, sf_dir):
     return rows
 
 
-@query(
-    """WITH n AS (SELECT p_partkey % 12 AS m FROM part) SELECT asset_class, geography_scope, bond_type, duration_bucket, count(*) AS n FROM n JOIN (VALUES (0, 'equity', 'global', NULL, NULL), (1, 'equity', 'country', NULL, NULL), (2, 'bond', NULL, 'govt', 'intermediate'), (3, 'bond', 'country', 'govt', 'long'), (4, 'commodity', NULL, NULL, NULL),
-    (5, 'equity', 'unknown', NULL, NULL), (6, 'bond', 'global', 'corp', 'unknown'), (7, 'equity', 'thematic', NULL, NULL), (8, 'cash', NULL, NULL, 'short'), (9, 'equity', 'regional', NULL, NULL), (10, 'equity', 'country', NULL, NULL), (11, 'commodity', NULL, NULL, NULL)) AS v(m, asset_class, geography_scope, bond_type, duration_bucket) USING (m) GROUP BY 1, 2, 3, 4"""
-)
-def fund_taxonomy(spark, sf_dir):
-    """Names classified by all cascades, then counted by class."""
-    tax = K.classify(funds(spark, sf_dir), "2026-01-01")
-    return tax.groupBy("asset_class", "geography_scope", "bond_type", "duration_bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     """WITH f AS (SELECT p_partkey, p_partkey % 12 AS m, 'IE' || lpad(p_partkey::VARCHAR, 10, '0') AS isin, CASE WHEN p_size % 3 = 0 THEN 'XETR' ELSE 'XLON' END AS venue, CASE WHEN p_size % 7 > 0 THEN p_retailprice / 1000 END AS fee FROM part),
     b(bucket, m) AS (VALUES ('equity_global', 0), ('gold', 4), ('cash', 8), ('broad_commodities', 11), ('equity_us', 10), ('corporate_bonds', 6))
