@@ -178,10 +178,58 @@ def test_main_text_on_made_and_given_pages(spark):
     assert {r.text for r in rows if r.page_id in (2, 3)} == {""} and len(rows) == 5
 
 
+def test_extraction_equals_the_known_text_of_made_up_pages():
+    field = extract.made_up(extract.MADE_PAGES)[1].field()
+    rnd = random.Random(79)
+    right = 0
+    for _ in range(200):
+        html = extract.labelled_page(rnd)
+        want = " ".join(b.text for b, y in zip(*extract.marked(html)) if y)
+        right += field.text(html.replace(extract.MAIN, "")) == want
+    assert right >= 0.93 * 200
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p class=x'>one</p>", ["one"]),
+        ('<p title="abc>one</p>', ["one"]),
+        ('<p title="abc>one</p><p class="x">two</p>', ["two"]),
+        ("<p>a < b &lt; c <3 d</p>", ["a < b < c <3 d"]),
+        ("<p>one<!-- <p>no</p> --> two<!-- cut <p>off", ["one two"]),
+        ("<p>one<script>x='</p>'</SCRIPT >two<style>p{}", ["onetwo"]),
+        ("</div></p><div>one</b></div>two</nav> three<p", ["one", "two", "three"]),
+        ("<a href='x>y'>z</a><br/>w<![CDATA[x]]>", ["z w"]),
+        ("<p>" * 3000 + "x" + "<div>" * 3000 + "y", ["x", "y"]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_blocks_of_malformed_pages(html, want):
+    assert [b.text for b in extract.blocks(html)] == want
+
+
+@pytest.mark.parametrize("piece", ["<a b=c ", '<a "x', '<a b="', '<a b=">" ', "</script ", "<!--", "<div>x", "<svg", "</div", "<p class='a", "&", "<script>", "= '", "<b>x</b>", "<li>a</p>"])
+def test_a_page_is_read_once_whatever_its_markup(piece):
+    import time
+
+    field = extract.Field({"bias": 1.0}, np.zeros(2), np.zeros((2, 2)))
+    began = time.process_time()
+    field.text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
+def test_extraction_of_an_empty_table_and_of_late_cues(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert extract.main_text(pages, extract.Field({}, np.zeros(2), np.zeros((2, 2)))).count() == 0
+    late = extract.Block(None, "word " * 100 + "cookie", 0.0)
+    assert "long-says:cookie" in extract.text_features(late, 0.0)
+
+
 def test_forward_scores_agree_with_viterbi():
     field = extract.Field({"a": 1.0}, np.array([0.3, -0.2]), np.array([[0.4, -0.3], [-0.6, 0.5]]))
     rnd = random.Random(1)
-    found = [extract.Block((), "x " * rnd.randint(1, 60), 0.0) for _ in range(6)]
+    found = [extract.Block(None, "x " * rnd.randint(1, 60), 0.0) for _ in range(6)]
     field.weights = {f: rnd.uniform(-1, 1) for b in extract.block_features(found) for f in b}
     from itertools import product
 
