@@ -7,12 +7,14 @@ a host's share toward the global one and a path's share toward its host's, the m
 strongly is estimated from the spread of the shares themselves (method of moments). A document's posterior adds its
 evidence to the log odds of its path's prior, so a sparse site is judged near the global prior.
 
-The model is fitted on at most TRAIN_ROWS labelled rows, chosen by hash; counts and sites cover all rows.
+The model is fitted on at most TRAIN_ROWS labelled texts, chosen by hash; counts and sites cover all rows. A document
+counts for its own site too, so a site of one document leans to that document's evidence by its small share of the
+site's prior.
 
 For `documents` the host is `source` and the path is `lang` within it.
 
 Defined results: a null text is empty. Null hosts and paths are sites of their own. Labels that are null, or whose
-document is missing, do not train; repeated label rows train once each. Without labels of both kinds the evidence is
+document is missing, do not train; a text and label that are repeated train once, and each text of an id trains. Without labels of both kinds the evidence is
 zero. Repeated rows come out repeated. Extra columns are not read. Empty tables give empty tables.
 """
 
@@ -83,16 +85,24 @@ def log_odds(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> dict | None:
-    """A model from at most `rows` labelled documents; docs: doc_id, text. None if a class is missing."""
-    chosen = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "y").limit(rows)
+    """A model from at most `rows` labelled texts; docs: doc_id, text. None if a class is missing.
+
+    Pairs of text and label are chosen by the hash of id, text and label, repeated ones once: first about twice as many
+    labels by the hash of their ids, so that no task or driver gets much more than the sample.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+    share = min(1.0, 2 * rows / max(known.count(), 1))
+    drawn = known.where(F.xxhash64("doc_id") < int(-(2**63) + share * (2**64 - 1))) if share < 1 else known
+    drawn = durable(drawn.distinct(), "labels")
 
     def run(batches):
         for b in batches:
-            x = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(0)], ["x", "y"])
+            x = [features(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "x"])
 
-    joined = docs.join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
-    got = joined.select(F.col("y").cast("int"), "text").mapInArrow(run, "x array<double>, y int").limit(4 * rows).collect()
+    joined = docs.join(small(drawn, drawn.count()), "doc_id").select(F.xxhash64("doc_id", "text", "y").alias("h"), "y", "text")
+    made = joined.mapInArrow(run, "h long, y int, x array<double>").groupBy("h", "y").agg(F.min("x").alias("x"))
+    got = made.orderBy("h", "y").limit(rows).collect()
     y = np.array([r["y"] for r in got], float)
     return fit(np.array([r["x"] for r in got], float), y) if 0 < y.sum() < len(y) else None
 

@@ -161,6 +161,51 @@ def test_sites_are_shrunk_toward_the_global_prior(spark):
     assert got["tiny"].host_prior > 0.5 and got["tiny"].path_prior <= got["even"].path_prior
 
 
+def test_sites_and_posterior_equal_a_plain_computation(spark):
+    """Shrunken shares and posteriors of evidence that is given, by loops over the rows."""
+    import math
+
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice(["a", "b", "c", None]), rnd.choice(["p", "q", None]), rnd.uniform(-4, 4)) for i in range(300)] + [(900, "d", "p", 3.0)]
+    prior = 0.4
+    p = {r[0]: 1 / (1 + math.exp(-(r[3] + prior))) for r in rows}
+
+    def shares(key, centre):
+        out = {}
+        for r in rows:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, s + p[r[0]])
+        v = {k: max(centre(k) * (1 - centre(k)), 1e-9) for k in out}
+        q = sum(n * (s / n - centre(k)) ** 2 / v[k] for k, (n, s) in out.items())
+        total, squares = sum(n for n, _ in out.values()), sum(n * n for n, _ in out.values())
+        between = (q - (len(out) - 1)) / (total - squares / total)
+        worth = min(max(1 / max(between, 1e-9) - 1, 10.0), 1e6)
+        return {k: (s + worth * centre(k)) / (n + worth) for k, (n, s) in out.items()}
+
+    whole = sum(p.values()) / len(rows)
+    hosts = shares(lambda r: r[1], lambda k: whole)
+    paths = shares(lambda r: (r[1], r[2]), lambda k: hosts[k[0]])
+    got = {(r.host, r.path): (r.host_prior, r.path_prior) for r in quality.sites(spark.createDataFrame(rows, "doc_id long, host string, path string, llr double"), prior).collect()}
+    assert set(got) == set(paths)
+    for k, (host, path) in got.items():
+        assert host == pytest.approx(hosts[k[0]], rel=1e-9) and path == pytest.approx(paths[k], rel=1e-9)
+
+
+def test_posterior_adds_evidence_to_the_site_and_ids_may_repeat(spark):
+    import math
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(30)) + ("." if i % 2 else " !!! ### @@@ |||") for i in range(60)]
+    frame = docs(spark, texts + texts[:3] + [None], [i % 40 for i in range(60)] + [0, 1, None, None], source=["s%d" % (i % 3) for i in range(64)])
+    labels = spark.createDataFrame([(i % 40, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = quality.posterior(frame, labels).collect()
+    assert len(rows) == 64
+    for r in rows:
+        odds = r.evidence + math.log(r.path_prior / (1 - r.path_prior))
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-9) and r.kept == (r.quality >= 0.5)
+    assert quality.posterior(frame, labels).collect() and quality.train(frame, labels, rows=10)["w"].tolist() == quality.train(frame, labels.repartition(7), rows=10)["w"].tolist()
+
+
 def test_main_text_on_made_and_given_pages(spark):
     rnd = random.Random(77)
     field = extract.train([extract.marked(extract.labelled_page(rnd)) for _ in range(250)], steps=100)
