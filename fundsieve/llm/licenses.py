@@ -1,13 +1,19 @@
 r"""License scans by an exact set-similarity join (operator 5), DataFrame functions only.
 
-Blocks are the lines of a text, templates are known license statements; both are sets of words. A block meets a
-template if it holds at least `need` = ceil(0.8 |T|) of the template's |T| words. A template's words are ordered by
-their counts over all documents, rarest first. Prefix filter: a block that meets the template holds one of its first
-|T| - need + 1 words, so only those are indexed and joined. Length filter: the block has `need` words or more.
-Positional filter: if the first word they share is the template's i-th, at most min(|T| - i, |block|) words can be
-shared. What is left is verified by the whole intersection, so the join finds every pair and no other.
+Blocks are runs of RUN words that begin at every RUN / 2 words of a text, whatever its line breaks, so a statement of
+RUN / 2 words or fewer lies whole in one; templates are known license statements; both are sets of words. A block
+meets a template if it holds at least `need` = ceil(0.8 |T|) of the template's |T| words, among them those that tell
+the license from others (`must`), and none that names a license which the template is only a part of (`other`).
 
-Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.
+Only words of templates can be shared, so a block is cut down to them. Both sides order their words by the counts over
+all documents, rarest first. Prefix filter: a pair that shares `need` words shares one of the template's first
+|T| - need + 1 and of the block's first |B| - least need + 1 words; only those are joined. Length filter: the block has
+`need` words of templates or more. Positional filter: if the first word they share is the template's i-th and the
+block's j-th, at most 1 + min(|T| - i - 1, |B| - j - 1) words are shared. What is left is verified by the whole
+intersection, so the join finds every pair and no other.
+
+Texts are cut into words once for the counts and once for the rest; only texts with a word of some template's prefix
+are cut into blocks. Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII.
 
 Defined results: a null text is empty: no words, no labels, score zero. Repeated rows give repeated results; rows
 with one id and several texts, or a null id, are judged each on its own text. Extra columns are not read. Empty
@@ -21,25 +27,30 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small
+from .common import ascii_lower, durable, settled, small
 
-LEAST = 0.8
+LEAST, RUN = 0.8, 64
 #: Phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: License statements and their labels.
+#: License statements: label, words that must stand there, words of other licenses, statement.
 TEMPLATES = (
-    ("agpl-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("lgpl-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("all-rights-reserved", "All rights reserved."),
+    ("agpl-3.0", "affero", "", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl-3.0", "affero", "", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("apache-2.0", "apache", "", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", "law writing", "", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("bsd", "redistribution binary", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("cc-by-4.0", "attribution", "noncommercial sharealike noderivatives", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-nc-4.0", "by nc", "", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa-4.0", "by sa", "", "Licensed under CC BY-SA 4.0."),
+    ("gpl-3.0", "general", "affero lesser", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl-3.0", "general", "affero lesser", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("isc", "purpose fee", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl-3.0", "lesser", "", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("lgpl-3.0", "lesser", "", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("mit", "mit", "", "Released under the MIT License."),
+    ("mit", "obtaining", "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mpl-2.0", "mozilla", "", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("all-rights-reserved", "rights reserved", "", "All rights reserved."),
 )
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -59,29 +70,53 @@ def counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["w"]: r["count"] for r in found.collect()}
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_hash, line, label, shared, of_words: every line that meets a template. row_hash tells texts apart."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = [(label, template_words(t)) for label, t in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    often = counts(docs, vocabulary)
-    rows = []
-    for k, (label, ws) in enumerate(sets):
-        ordered = sorted(ws, key=lambda w: (often.get(w, 0), w))
-        need = -(-len(ordered) * round(least * 100) // 100)
-        rows += [(w, k, label, i, need, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
-    index = spark.createDataFrame(rows, "w string, template int, label string, i int, need int, tokens array<string>")
-    prefix = F.array(*map(F.lit, sorted({r[0] for r in rows})))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line", "block"))
-    # a line without any indexed word, whatever its letters' case, is left before it is cut into words
-    hint = "(?i)" + "|".join(sorted({re.escape(r[0]) for r in rows}))
-    blocks = lines.where(F.col("block").rlike(hint)).select("doc_id", "row_hash", "line", F.array_distinct(words(F.col("block"))).alias("block"))
-    probes = blocks.where(F.arrays_overlap("block", prefix)).select("*", F.explode("block").alias("w"))
-    joined = probes.join(small(index, len(rows)), "w").where(F.size("block") >= F.col("need"))
-    bounded = joined.where(F.least(F.size("tokens") - F.col("i"), F.size("block")) >= F.col("need"))
-    shared = bounded.withColumn("common", F.array_intersect("tokens", "block")).where(F.get("common", F.lit(0)) == F.col("w"))
-    return shared.where(F.size("common") >= F.col("need")).select("doc_id", "row_hash", "line", "label", F.size("common").alias("shared"), F.size("tokens").alias("of_words"))
+class Index:
+    """The templates as lists of word numbers, rarest first; a number is the word's place in the global order."""
+
+    def __init__(self, docs: DataFrame, templates=TEMPLATES, least: float = LEAST):
+        named = [(label, template_words(must), template_words(other), template_words(t)) for label, must, other, t in templates]
+        vocabulary = sorted({w for _, must, other, ws in named for w in (*must, *other, *ws)})
+        often = counts(docs, vocabulary)
+        self.words = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
+        number = {w: i for i, w in enumerate(self.words)}
+        self.rows = []
+        for k, (label, must, other, ws) in enumerate(named):
+            tokens = sorted(number[w] for w in ws)
+            need = -(-len(tokens) * round(least * 100) // 100)
+            of = ([number[w] for w in must], [number[w] for w in other])
+            self.rows += [(w, k, label, i, need, tokens, *of) for i, w in enumerate(tokens[: len(tokens) - need + 1])]
+        self.least_need = min((r[4] for r in self.rows), default=1)
+        #: Words of prefixes: a text without any of them meets no template.
+        self.prefix = sorted({self.words[r[0]] for r in self.rows})
+
+    def frame(self, docs: DataFrame) -> DataFrame:
+        schema = "w int, template int, label string, i int, need int, tokens array<int>, must array<int>, other array<int>"
+        return small(docs.sparkSession.createDataFrame(self.rows, schema), len(self.rows))
+
+
+def matches(cut: DataFrame, index: Index, filters: bool = True) -> DataFrame:
+    """doc_id, row_hash, at, label, shared, of_words: every block that meets a template; cut: doc_id, row_hash, ws.
+
+    Without `filters` the prefixes are whole and positions do not count: the same pairs from more candidates.
+    """
+    known = F.array(*map(F.lit, index.words))
+    step = RUN // 2
+    begins = F.sequence(F.lit(0), F.greatest(F.size("ws") - step - 1, F.lit(0)), F.lit(step))
+    runs = F.transform(begins, lambda k: F.struct(k.alias("at"), F.array_intersect(known, F.slice(F.col("ws"), k + 1, RUN)).alias("held")))
+    blocks = cut.select("doc_id", "row_hash", F.explode(runs).alias("b")).select("doc_id", "row_hash", "b.at", F.col("b.held").alias("held"))
+    # the intersection keeps the order of `known`, which is the global one
+    blocks = blocks.where(F.size("held") >= index.least_need)
+    blocks = settled(blocks, "held", F.transform("held", lambda w: (F.array_position(known, w) - 1).cast("int")))
+    reach = F.size("held") - index.least_need + 1 if filters else F.size("held")
+    probes = blocks.select("*", F.posexplode(F.slice("held", F.lit(1), reach)).alias("j", "w"))
+    of = index.frame(cut)
+    joined = probes.join(of, "w").where(F.size("held") >= F.col("need"))
+    if filters:
+        joined = joined.where(1 + F.least(F.size("tokens") - F.col("i") - 1, F.size("held") - F.col("j") - 1) >= F.col("need"))
+    joined = joined.withColumn("common", F.array_intersect("tokens", "held"))
+    first = F.get("common", F.lit(0)) == F.col("w")  # of several shared words of the prefixes the first one counts
+    good = joined.where(first & (F.size("common") >= F.col("need")) & (F.size(F.array_except("must", "held")) == 0) & ~F.arrays_overlap("other", "held"))
+    return good.select("doc_id", "row_hash", "at", "template", "label", F.size("common").alias("shared"), F.size("tokens").alias("of_words"))
 
 
 def phrase_places(ws: Column, phrase: str) -> Column:
@@ -101,29 +136,37 @@ def _all(terms: list[Column]) -> Column:
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    score: 1 if a phrase stands there, else the largest share of a met template's words in a line, else 0.
+    score: 1 if a phrase stands there, else the largest share of a met template's words in a block, else 0.
     """
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = matches(docs, templates, least)
-    by_row = found.groupBy("doc_id", "row_hash").agg(F.collect_set("label").alias("met"), F.max(F.col("shared") / F.col("of_words")).alias("share"))
-    hint = "(?i)" + "|".join(p.split(" ")[0] for p, _ in phrases)
-    cut = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), words(F.col("text")).alias("ws"), F.coalesce(F.col("text").rlike(hint), F.lit(False)).alias("may"))
+    index = Index(docs, templates, least)
+    cut = settled(docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text"), "ws", words(F.col("text")))
     nothing = F.array().cast("array<int>")
     for k, (phrase, _) in enumerate(phrases):
-        cut = cut.withColumn(f"p{k}", F.when(F.col("may"), phrase_places(F.col("ws"), phrase)).otherwise(nothing))
+        may = F.lit(True)
+        for part in phrase.split(" "):
+            may = may & F.array_contains("ws", part)
+        cut = cut.withColumn(f"p{k}", F.when(may, phrase_places(F.col("ws"), phrase)).otherwise(nothing))
     places = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, label) for k, (_, label) in enumerate(phrases)]))
-    rows = cut.select(
-        "doc_id",
-        "row_hash",
-        F.size("ws").cast("long").alias("n_words"),
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        base.alias("base"),
+    may = F.arrays_overlap("ws", F.array(*map(F.lit, index.prefix)))
+    cut = durable(
+        cut.select(
+            "doc_id",
+            "row_hash",
+            F.size("ws").cast("long").alias("n_words"),
+            F.size(places).cast("long").alias("n_base"),
+            F.array_min(places).cast("long").alias("first_word"),
+            F.array_max(places).cast("long").alias("last_word"),
+            base.alias("base"),
+            F.when(may, F.col("ws")).alias("ws"),  # words of the few texts that can meet a template
+        ),
+        "words",
     )
+    found = matches(cut.where("ws is not null").select("doc_id", "row_hash", "ws"), index)
+    by_row = found.groupBy("doc_id", "row_hash").agg(F.collect_set("label").alias("met"), F.max(F.col("shared") / F.col("of_words")).alias("share"))
     by_row = by_row.select(F.col("doc_id").alias("found_id"), F.col("row_hash").alias("found_hash"), "met", "share")
-    both = rows.join(by_row, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_hash") == F.col("found_hash")), "left")
+    both = cut.join(by_row, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_hash") == F.col("found_hash")), "left")
     said = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return both.select(
         "doc_id",
@@ -138,10 +181,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: float = L
 
 
 def sql(templates=TEMPLATES, phrases=PHRASES) -> str:
-    """The same result in SQL, every line against every template."""
+    """The same result in SQL, every block against every template."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     cut = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-    known = ", ".join(f"({k}, {quoted(label)}, [{', '.join(map(quoted, template_words(t)))}])" for k, (label, t) in enumerate(templates))
+    listed = lambda t: f"[{', '.join(map(quoted, template_words(t)))}]::VARCHAR[]"
+    known = ", ".join(f"({k}, {quoted(label)}, {listed(must)}, {listed(other)}, {listed(t)})" for k, (label, must, other, t) in enumerate(templates))
     tests = []
     for phrase, label in phrases:
         parts = phrase.split(" ")
@@ -151,10 +195,9 @@ WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS
 d AS (SELECT rid, doc_id, {cut.format("text")} AS w FROM rows),
 places AS ({" UNION ALL ".join(tests)}),
 base AS (SELECT rid, count(*) AS n, min(k) AS a, max(k) AS z, list(DISTINCT label) AS ls FROM places GROUP BY rid),
-t(t, label, ws) AS (VALUES {known}),
-lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows),
-blocks AS (SELECT rid, list_distinct({cut.format("line")}) AS b FROM lines),
-met AS (SELECT rid, label, len(list_intersect(ws, b))::DOUBLE / len(ws) AS share FROM blocks, t WHERE len(list_intersect(ws, b)) >= ceil(len(ws) * 0.8)),
+t(t, label, must, other, ws) AS (VALUES {known}),
+blocks AS (SELECT DISTINCT rid, list_distinct(w[k + 1 : k + 64]) AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - 32, 1), 32)) AS k FROM d)),
+met AS (SELECT rid, label, len(list_intersect(ws, b))::DOUBLE / len(ws) AS share FROM blocks, t WHERE len(list_intersect(ws, b)) >= ceil(len(ws) * 0.8) AND list_has_all(b, must) AND NOT list_has_any(b, other)),
 by_row AS (SELECT rid, list(DISTINCT label) AS ls, max(share) AS share FROM met GROUP BY rid)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a::BIGINT AS first_word, base.z::BIGINT AS last_word,
 coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
