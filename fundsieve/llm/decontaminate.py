@@ -8,10 +8,12 @@ hashes up to its partitions' largest sketch value take part (the document's own
 the document's), and only items whose `need` the document's size reaches. Candidate pairs are verified by exact
 containment of the shingles as strings.
 
-Words are runs of letters, marks and digits, in lower case. A text of one to four words is one shingle.
+Words are runs of letters, marks and digits, in lower case. A text of one to four words is one shingle, so an item of
+fewer than five words is found only in a document that consists of these words.
 
 Defined results: null and empty texts, items and documents, contain nothing and are contained in nothing. A null
-doc_id or item_id is in no pair. Repeated rows count once; of rows with one id and several texts a pair is reported
+doc_id or item_id is in no pair. A shingle that very many documents hold meets only the items that hold it. Repeated
+rows count once; of rows with one id and several texts a pair is reported
 once, with its largest containment. Extra columns are not read. Empty tables give no pairs.
 """
 
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import durable, settled, small
 
 SHINGLE, LEAST = 5, 0.8
+#: Candidate pairs, of two ids each, that are broadcast; more are joined.
+PAIR_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -73,9 +77,11 @@ def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_key:
     shingled = settled(shingled, "reach", reach)
     sketched = shingled.select("doc_id", "size", F.explode_outer(F.filter("all", lambda h: h <= F.col("reach"))).alias("h"))
     pairs = durable(sketched.join(postings, "h").where("size >= need").select("doc_id", "item_id").distinct(), "candidates")
-    n_items = sum(p["items"] for p in parts)
-    wanted = small(pairs, pairs.count()).join(small(sets.select("item_id", F.col("text").alias("item_text"), "need", "n"), n_items), "item_id")
-    both = with_shingles(with_shingles(docs.join(wanted, "doc_id"), "text", "s", joined), "item_text", "t", joined)
+    # few documents hold an item: the pairs go to the documents, which stay where they are, and the items to the pairs
+    there = docs.join(small(pairs, pairs.count(), PAIR_ROWS), "doc_id")
+    known = sets.select("item_id", F.col("text").alias("item_text"), "need", "n")
+    wanted = there.join(small(known, sum(p["items"] for p in parts)), "item_id")
+    both = with_shingles(with_shingles(wanted, "text", "s", joined), "item_text", "t", joined)
     common = both.select("doc_id", "item_id", "need", F.col("n").alias("n_item"), F.size(F.array_intersect("t", "s")).alias("n_common"))
     best = common.where("n_common >= need").groupBy("doc_id", "item_id").agg(F.max("n_common").cast("long").alias("n_common"), F.max("n_item").cast("long").alias("n_item"))
     return best.withColumn("containment", F.col("n_common") / F.col("n_item"))
