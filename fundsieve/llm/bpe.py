@@ -2,7 +2,8 @@
 
 A pre-token is encoded with a priority queue of merge ranks over a doubly linked list of symbols; queue entries
 whose symbols have meanwhile been merged are stale and skipped. Decoding joins the vocabulary strings of the ids.
-The tokenizer file is a parameter and is read where the tasks run.
+A chunk of text between white space is encoded once and remembered. The tokenizer file is a parameter and is read
+where the tasks run; which of its strings encode alone as one token is proved once, before, and sent to the tasks.
 
 Defined results: a null text is the empty text (no tokens, empty decoded text). Texts are read whole, whatever
 their length. Rows are independent, so repeated rows and null ids come out as they went in. Extra columns of the
@@ -16,7 +17,9 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +38,20 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(shifted)) for b in range(256)]
 
 
+class Memo(dict):
+    """Results by word, made when first asked for; starts anew when full."""
+
+    def __init__(self, make, limit: int = MEMO):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, word: str):
+        if len(self) >= self.limit:
+            self.clear()
+        out = self[word] = self.make(word)
+        return out
+
+
 class WordBpe:
     """A byte-level BPE with word ends, read from a tokenizer file."""
 
@@ -54,9 +71,9 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.packed: dict[str, bytes] = {}
-        self.whole = self.single_tokens()
+        self.words = Memo(self.merge)
+        self.packed = Memo(lambda c: pack([i for w in self.pieces(c) for i in self.words[w]]))
+        self.listed = pa.array([self.strings.get(i, "") for i in range(max(self.strings, default=-1) + 1)], pa.large_string())
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -109,14 +126,6 @@ class WordBpe:
                 out.add(word)
         return frozenset(out)
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            ids = self.words[word] = self.merge(word)
-        return ids
-
     def chunks(self, text: str) -> list[str]:
         """Normalised text, cut at white space: NFC, lower case by character."""
         if not text.isascii():
@@ -125,53 +134,31 @@ class WordBpe:
         # str.split also splits at the separators U+001C to U+001F, which the pattern keeps
         return SPACE.split(text) if SEPARATORS.search(text) else text.split()
 
-    def chunk_ids(self, chunk: str) -> bytes:
-        if len(self.packed) >= MEMO:
-            self.packed.clear()
-        out = self.packed[chunk] = pack([i for w in self.pieces(chunk) for i in self.word_ids(w)])
-        return out
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         out: list[bytes] = []
-        seen = self.packed
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                out.append(pack([self.added[part]]))
-                continue
-            for c in self.chunks(part):
-                out.append(seen.get(c) or self.chunk_ids(c))
+            out += [pack([self.added[part]])] if k % 2 else map(self.packed.__getitem__, self.chunks(part))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        """The vocabulary strings of the ids, with one space between, as a tokenizer without decoder joins them."""
-        return " ".join(map(self.strings.__getitem__, memoryview(ids).cast("I")))
+    def decode(self, packed: list[bytes]) -> pa.Array:
+        """For each list of ids their vocabulary strings, with one space between, as a tokenizer without decoder joins them."""
+        offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in packed)]), pa.int32())
+        strings = self.listed.take(pa.array(np.frombuffer(b"".join(packed), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, strings), pa.scalar(" ", pa.large_string())).cast(pa.string())
 
-    def count(self, text: str | None) -> int:
-        """Tokens of a text: whole-token pre-tokens count one each, the rest are merged."""
+    def count(self, text: str | None, of: Memo) -> int:
+        """Tokens of a text; `of`: the tokens of each chunk."""
         if not text:
             return 0
-        total, seen, whole = 0, self.counts, self.whole
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                total += 1
-                continue
-            for c in self.chunks(part):
-                n = seen.get(c)
-                if n is None:
-                    if len(seen) >= 2 * MEMO:
-                        seen.clear()
-                    n = seen[c] = sum(1 if w in whole else len(self.word_ids(w)) for w in self.pieces(c))
-                total += n
-        return total
-
-    @property
-    def counts(self) -> dict[str, int]:
-        if not hasattr(self, "_counts"):
-            self._counts: dict[str, int] = {}
-        return self._counts
+        parts = self.special.split(text) if self.special else [text]
+        return len(parts) // 2 + sum(sum(map(of.__getitem__, self.chunks(part))) for part in parts[::2])
+
+    def counts(self, whole: frozenset[str]) -> Memo:
+        """Tokens by chunk: pre-tokens that are proved to be whole tokens count one each, the rest are merged."""
+        return Memo(lambda c: sum(1 if w in whole else len(self.words[w]) for w in self.pieces(c)), 2 * MEMO)
 
 
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -200,7 +187,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             for at in range(0, whole.num_rows, OUT_ROWS):
                 part = whole.slice(at, OUT_ROWS)
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), bpe.decode(ids)], ["doc_id", "ids", "decoded"])
 
     return _columns(docs, key, text).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -211,18 +198,26 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     def run(batches):
         bpe = load(path)
         for part in batches:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(x or b"") for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column(0), bpe.decode([x or b"" for x in part.column(1).to_pylist()])], ["doc_id", "decoded"])
 
     return encoded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, decoded string")
 
 
+@lru_cache(maxsize=4)
+def proved(path: str) -> frozenset[str]:
+    """The whole tokens of a tokenizer file, proved once."""
+    return load(path).single_tokens()
+
+
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens."""
+    whole = docs.sparkSession.sparkContext.broadcast(proved(path))  # of the vocabulary's size
 
     def run(batches):
         bpe = load(path)
+        of = bpe.counts(whole.value)
         for part in batches:
-            n = [bpe.count(t) for t in part.column(1).to_pylist()]
+            n = [bpe.count(t, of) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = _columns(docs, key, text).withColumn("n_bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0)))
