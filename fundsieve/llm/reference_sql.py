@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from .secrets import BASE_RULES, RULES, quick
+from .secrets import BASE_RULES, MORE_RULES, quick
+
+#: The base kinds, written out: kind, expression, least length of the group, group. Runs that are dropped for their
+#: length are not matched.
+BASE = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    ("access", "AKIA[A-Z0-9]+", 20, 0),
+    ("hex", "[0-9a-f]{24,}", 24, 0),
+)
 
 
 def quoted(s: str) -> str:
@@ -12,8 +20,8 @@ def quoted(s: str) -> str:
 def secret_spans() -> str:
     """Places of all matches from the lengths of what lies between them."""
     parts = []
-    for k, (kind, expression, least, group) in enumerate(RULES):
-        e = quoted(quick(expression, least, group))
+    for k, (kind, expression, least, group) in enumerate(BASE + tuple((kind, quick(x, n, g), n, g) for kind, x, n, g in MORE_RULES)):
+        e = quoted(expression)
         parts.append(
             f"""SELECT rid, {k} AS k, {quoted(kind)} AS kind, start, start + len(m) AS stop FROM (
             SELECT rid, m, g, sum(len(p)) OVER w + coalesce(sum(len(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

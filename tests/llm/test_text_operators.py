@@ -161,9 +161,24 @@ def test_bpe_equals_the_library(spark, path):
 
 
 def test_whole_tokens_are_proved(path):
-    b = bpe.load(path)
-    assert len(b.whole) > 10_000 and "the" in b.whole
-    assert all(len(b.merge(w)) == 1 for w in list(b.whole)[:500])
+    b, whole = bpe.load(path), bpe.proved(path)
+    assert len(whole) > 10_000 and "the" in whole
+    assert all(len(b.merge(w)) == 1 for w in list(whole)[:500])
+
+
+def test_empty_tables_and_null_ids_of_row_by_row_operators(spark, path):
+    none = docs(spark, [])
+    assert bpe.encode(none, path).count() == bpe.count_tokens(none, path).count() == secrets.scan(none).count() == 0
+    assert bpe.decode(bpe.encode(none, path), path).count() == secrets.redact(none).count() == 0
+    twice = docs(spark, ["a token: abcdefgh"] * 3, [None, 4, 4])
+    assert [r.n_tokens for r in bpe.count_tokens(twice, path).collect()] == [4] * 3
+    assert sorted(r.doc_id or 0 for r in bpe.encode(twice, path).collect()) == [0, 4, 4]
+    assert [len(r.found) for r in secrets.scan(twice).collect()] == [1] * 3
+
+
+def test_a_full_memo_starts_anew():
+    made = bpe.Memo(len, 3)
+    assert [made[w] for w in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1] and len(made) == 2
 
 
 def test_queries_digest_the_operators(spark, path, tmp_path):
