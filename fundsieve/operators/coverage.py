@@ -70,6 +70,51 @@ def gap_summary(gaps: DataFrame) -> DataFrame:
     return gaps.select(F.explode(F.split("missing_fields", ",")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gap_counts(gaps: DataFrame, by: Mapping[str, Column]) -> DataFrame:
+    """facet, value, n: how many rows with gaps miss each field and have each value of the given columns; one pass."""
+    fields = F.transform(F.split("missing_fields", ","), lambda x: F.struct(F.lit("missing_field").alias("facet"), x.alias("value")))
+    rest = F.array(*[F.struct(F.lit(k).alias("facet"), v.cast("string").alias("value")) for k, v in by.items()])
+    return gaps.select(F.explode(F.concat(fields, rest)).alias("p")).where("p.value is not null").groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_range(df: DataFrame, value: Column, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """low, high of the known values to two decimals; the given bounds where none is known."""
+    return df.agg(F.coalesce(F.round(F.min(value), 2), F.lit(low)).alias("low"), F.coalesce(F.round(F.max(value), 2), F.lit(high)).alias("high"))
+
+
+def ingest_sanity(instrument: DataFrame, listing: DataFrame) -> DataFrame:
+    """measure, value, n: totals, listings by venue, funds with several listings, and repeated keys."""
+    per_fund = listing.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("n"))
+    per_key = listing.groupBy("instrument_id", "venue_mic", "ticker").agg(F.count(F.lit(1)).alias("n"))
+    per_isin = instrument.groupBy("isin").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string").alias("value")
+    one = lambda name, df, n: df.agg(n.alias("n")).select(F.lit(name).alias("measure"), none, "n")
+    venues = listing.groupBy(F.col("venue_mic").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("venue").alias("measure"), "value", "n")
+    return (
+        one("instruments", instrument, F.count(F.lit(1)))
+        .unionByName(venues)
+        .unionByName(one("multi_listed", per_fund, F.count_if(F.col("n") >= 2)))
+        .unionByName(one("repeated_isins", per_isin, F.count_if(F.col("n") > 1)))
+        .unionByName(one("repeated_listings", per_key, F.count_if(F.col("n") > 1)))
+    )
+
+
+def refine_report(before: DataFrame, after: DataFrame, key: str, currency: str, venue: str, issuer: str, quality: str) -> DataFrame:
+    """measure, value, n: blank currencies before and after, imputed ones, rows by venue and currency, and by issuer."""
+    blank = F.coalesce(F.trim(currency), F.lit("")) == ""
+    none = F.lit(None).cast("string").alias("value")
+    one = lambda name, df, n: df.agg(n.alias("n")).select(F.lit(name).alias("measure"), none, "n")
+    pair = F.concat_ws(" | ", F.col(venue), F.coalesce(currency, F.lit("NULL")))
+    by = lambda name, c: after.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "value", "n")
+    return (
+        one("before_null", before, F.count_if(blank))
+        .unionByName(one("after_null", after, F.count_if(blank)))
+        .unionByName(one("imputed", after, F.count_if(F.col(quality) == "imputed")))
+        .unionByName(by("venue_currency", pair))
+        .unionByName(by("issuer", F.coalesce(issuer, F.lit("NULL"))))
+    )
+
+
 def funnel(latest: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     """total and how many rows pass each step and all before it."""
     passed, aggs = F.lit(True), [F.count(F.lit(1)).alias("total")]

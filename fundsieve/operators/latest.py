@@ -82,3 +82,31 @@ def mode_by(rows: DataFrame, keys: Sequence[str], value: str, rank: Column, name
 def dominant(rows: DataFrame, key: str, label: str, weight: str, position: str) -> DataFrame:
     """The label with the largest weight of each key, the first on ties."""
     return rows.groupBy(key).agg(F.max_by(label, F.struct(weight, -F.col(position))).alias(label), F.max(weight).alias(weight))
+
+
+def listed_by_venue(rows: DataFrame, key: str, venues: Sequence[str]) -> DataFrame:
+    """One active row a key that has a ticker and a currency: primary first, then by venue, then by id."""
+    whole = (F.trim(F.coalesce("ticker", F.lit(""))) != "") & (F.trim(F.coalesce("trading_currency", F.lit(""))) != "")
+    return representative(rows.where(whole), key, [rank_of(F.col("venue_mic"), venues), F.col("listing_id")])
+
+
+def best_document(docs: DataFrame, key: str, language: str, recorded: str, alias: str, name: str, mark: str = "/ETF/") -> DataFrame:
+    """The document of each key: English first, then the newest, then those whose alias has a mark, then by name."""
+    order = [
+        (F.lower(F.trim(language)) != "english").cast("int").asc_nulls_last(),
+        F.col(recorded).desc_nulls_last(),
+        (~F.coalesce(F.col(alias).contains(mark), F.lit(False))).cast("int"),
+        F.coalesce(name, F.lit("")),
+    ]
+    return top_rows(docs, [key], order)
+
+
+def rank_candidates(cands: DataFrame, key: str, url: str, score: str, label: str, n: int = 10) -> DataFrame:
+    """The best n candidates of each key with rank: each url once with its best score, then by score, label and url."""
+    best = cands.groupBy(key, url).agg(F.max(score).alias(score), F.min_by(label, F.struct(-F.col(score), label)).alias(label))
+    return top_rows(best, [key], [F.col(score).desc(), F.col(label), F.col(url)], n, "rank")
+
+
+def fee_outliers(cost: DataFrame, key: str, value: str, order: Sequence[str], low: float = 0.0, high: float = 3.0) -> DataFrame:
+    """Keys whose newest known value, whatever its flag, is out of range."""
+    return latest_known(cost, key, value, order).where(~F.col(value).between(low, high))

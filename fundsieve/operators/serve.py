@@ -106,12 +106,55 @@ def work_queue(df: DataFrame, missing: Sequence[Column], tie: str, limit: int =
     return ordered.limit(limit) if limit else ordered
 
 
-def pending(df: DataFrame, log: DataFrame, key: str, order: str, version: Column, current: str) -> DataFrame:
-    """Rows whose newest log row does not carry the current version."""
-    done = log.groupBy(key).agg(F.max_by(version, order).alias("_v")).where(F.col("_v") == current).select(key)
+def pending(df: DataFrame, log: DataFrame, key: str, order: str, version: Column, current: str | Sequence[str]) -> DataFrame:
+    """Rows whose newest log row does not carry the current version, or one of several accepted values."""
+    accepted = [current] if isinstance(current, str) else list(current)
+    done = log.groupBy(key).agg(F.max_by(version, order).alias("_v")).where(F.col("_v").isin(accepted)).select(key)
     return df.join(done, key, "left_anti")
 
 
+def order_ci(c: Column | str) -> list[Column]:
+    """Alphabetical whatever the letters' case, then by the text itself."""
+    c = F.col(c) if isinstance(c, str) else c
+    return [F.lower(c).asc_nulls_first(), c.asc_nulls_first()]
+
+
+def lookup(df: DataFrame, ref: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df with the fields of the first row of ref for its keys; every row of df stays once."""
+    from .latest import top_rows
+
+    return df.join(top_rows(ref, list(keys), list(order)), list(keys), "left")
+
+
+def issuer_terms(texts: Sequence[str]) -> list[str]:
+    """Terms of comma lists: trimmed, upper case, each once."""
+    return list(dict.fromkeys(" ".join(x.split()).upper() for t in texts for x in t.split(",") if x.strip()))
+
+
+#: Houses whose documents follow a template.
+TEMPLATE_HOUSES = ("VANGUARD", "INVESCO", "XTRACKERS", "AMUNDI", "HSBC", "WISDOMTREE")
+
+
+def filter_issuers(df: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("issuer_hint", "issuer_name", "instrument_name"), template_only: bool = False) -> DataFrame:
+    """Rows with any term in any of the columns, whatever the case; template_only also asks for a house with a template."""
+    holds = lambda words, cs: any_of([F.contains(F.upper(F.coalesce(c, F.lit(""))), F.lit(w)) for c in cs for w in words])
+    wanted = issuer_terms(terms)
+    out = df.where(holds(wanted, columns)) if wanted else df
+    return out.where(holds(TEMPLATE_HOUSES, [c for c in columns if c != "issuer_hint"])) if template_only else out
+
+
+def needs_enrichment(df: DataFrame, fields: Sequence[str]) -> Column:
+    """Any of the fields is missing; a blank text counts as missing."""
+    kinds = dict(df.dtypes)
+    return any_of([blank(F.col(f)) if kinds[f] == "string" else F.col(f).isNull() for f in fields])
+
+
+def fee_targets(df: DataFrame, fee: str, houses: Sequence[str], issuer: str, at_most: float | None = None) -> DataFrame:
+    """Plain funds of some houses whose fee is missing or, if a bound is given, suspiciously small."""
+    wanted = F.col(fee).isNull() if at_most is None else F.col(fee).isNull() | (F.col(fee) <= at_most)
+    return df.where((F.upper(F.coalesce("instrument_type", F.lit(""))) == "ETF") & wanted & F.upper(F.coalesce(issuer, F.lit(""))).isin([h.upper() for h in houses]))
+
+
 def closure(tables: Mapping[str, tuple[DataFrame, str]], ids: DataFrame, key: str) -> dict[str, DataFrame]:
     """Each table restricted to rows whose column is among the ids."""
     ids = ids.select(key).distinct()

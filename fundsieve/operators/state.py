@@ -83,9 +83,140 @@ def diff_events(before: DataFrame, after: DataFrame, keys: Sequence[str], entity
     return both.select(F.lit(entity).alias("entity_type"), *keys, "previous_status", "new_status", kind.alias("event_type")).where("event_type is not null")
 
 
-def run_ledger(source: str, asof: str, rows: Column, notes: Column) -> list[Column]:
-    """The columns of a finished run's row, for an aggregate over its observations."""
-    return [F.lit(source).alias("source_name"), F.lit(asof).alias("asof_date"), F.lit("succeeded").alias("status"), rows.alias("rows_observed"), notes.alias("notes")]
+def run_ledger(source: str, asof: str, rows: Column, notes: Column, error: Column | None = None) -> list[Column]:
+    """The columns of a finished run's row, for an aggregate over its observations; an error makes it a failed one."""
+    status = F.lit("succeeded") if error is None else F.when(error.isNull(), "succeeded").otherwise("failed")
+    return [F.lit(source).alias("source_name"), F.lit(asof).alias("asof_date"), status.alias("status"), rows.alias("rows_observed"), notes.alias("notes")]
+
+
+def run_states(log: DataFrame, run: str, order: str) -> DataFrame:
+    """Of an append-only log of run rows (running, then succeeded or failed) the last of each run."""
+    rest = [c for c in log.columns if c != run]
+    return log.groupBy(run).agg(F.max_by(F.struct(*rest), order).alias("r")).select(run, "r.*")
+
+
+def merge_instruments(current: DataFrame, feed: DataFrame, order: str) -> DataFrame:
+    """Instruments after a feed, by isin: isin, instrument_name, ucits_flag, issuer_id, status, event.
+
+    The first known name and issuer stay, a compliance flag only rises, and a row that changes by that is active again;
+    of repeated feed rows the first known values by `order` count. event: inserted, updated, reactivated or NULL.
+    """
+    name = F.nullif(F.col("instrument_name"), F.lit(""))
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(order)))
+    new = feed.where("isin is not null").groupBy("isin").agg(first(name).alias("name"), F.max("ucits_flag").alias("flag"), first(F.col("issuer_id")).alias("house"), F.lit(True).alias("_new"))
+    both = current.withColumn("_old", F.lit(True)).join(new, "isin", "full_outer")
+    after = {
+        "instrument_name": F.coalesce(name, F.col("name")),
+        "ucits_flag": either_flag(F.col("ucits_flag"), F.col("flag")),
+        "issuer_id": F.coalesce("issuer_id", "house"),
+    }
+    changed = F.lit(False)
+    for c, v in after.items():
+        changed = changed | ~v.eqNullSafe(F.col(c))
+    event = F.when(F.col("_old").isNull(), "inserted").when(changed & (F.coalesce("status", F.lit("")) != "active"), "reactivated").when(changed, "updated")
+    return both.select("isin", *[v.alias(c) for c, v in after.items()], F.when(event.isNotNull(), "active").otherwise(F.col("status")).alias("status"), event.alias("event"))
+
+
+def merge_listings(current: DataFrame, feed: DataFrame, source: str, asof: str, order: str) -> DataFrame:
+    """Listings after a feed, by instrument, venue and ticker: new known names and currencies win, primary is never lost.
+
+    Observed rows become active and carry the feed's source and date; of repeated feed rows the last known values by
+    `order` count. event: inserted, updated, reactivated or NULL.
+    """
+    keys = ["instrument_id", "venue_mic", "ticker"]
+    last = lambda c: F.max_by(c, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col(order)))
+    new = feed.groupBy(*keys).agg(last("exchange_name").alias("e"), last("trading_currency").alias("t"), F.max("primary_flag").alias("p"), F.lit(True).alias("_new"))
+    both = current.withColumn("_old", F.lit(True)).join(new, keys, "full_outer")
+    flag = F.when((F.col("primary_flag") == 1) | (F.col("p") == 1), 1).otherwise(0)
+    after = {
+        "exchange_name": F.coalesce("e", "exchange_name"),
+        "trading_currency": F.coalesce("t", "trading_currency"),
+        "primary_flag": flag,
+        "status": F.lit("active"),
+        "data_source": F.lit(source),
+        "asof_date": F.lit(asof),
+    }
+    changed = F.lit(False)
+    for c, v in after.items():
+        changed = changed | ~v.eqNullSafe(F.col(c))
+    event = F.when(F.col("_new"), F.when(F.col("_old").isNull(), "inserted").when(changed & (F.coalesce("status", F.lit("")) != "active"), "reactivated").when(changed, "updated"))
+    return both.select(*keys, *[F.when(F.col("_new"), v).otherwise(F.col(c)).alias(c) for c, v in after.items()], event.alias("event"))
+
+
+def merge_issuers(issuer: DataFrame, names: DataFrame) -> DataFrame:
+    """issuer_id, issuer_name, normalized_name, domain after names (name, domain) were looked up or added.
+
+    A name is known if it is some issuer's normalized name, else if it is its name; a domain is filled once.
+    """
+    wanted = names.where(F.trim("name") != "").groupBy("name").agg(F.min("domain").alias("new_domain"))
+    by = lambda c: issuer.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.min("issuer_id").alias(f"by_{c}"))
+    found = wanted.join(by("normalized_name"), "name", "left").join(by("issuer_name"), "name", "left").withColumn("issuer_id", F.coalesce("by_normalized_name", "by_issuer_name"))
+    filled = issuer.join(found.where("issuer_id is not null").groupBy("issuer_id").agg(F.min("new_domain").alias("new_domain")), "issuer_id", "left")
+    old = filled.select("issuer_id", "issuer_name", "normalized_name", F.coalesce("domain", "new_domain").alias("domain"))
+    fresh = found.where("issuer_id is null").select(F.col("name").alias("issuer_name"), "new_domain")
+    ids = assign_ids(fresh, "issuer_name", "issuer_id", issuer.select("issuer_name", "issuer_id"))
+    added = fresh.join(ids, "issuer_name").select("issuer_id", "issuer_name", F.col("issuer_name").alias("normalized_name"), F.col("new_domain").alias("domain"))
+    return old.unionByName(added)
+
+
+def apply_aliases(issuer: DataFrame, alias: DataFrame) -> DataFrame:
+    """issuer_id, issuer_name, target_id, canonical_name, domain: each issuer by the alias table, else itself.
+
+    alias: alias, issuer_id; the smallest id where an alias is repeated.
+    """
+    to = alias.groupBy(F.col("alias").alias("issuer_name")).agg(F.min("issuer_id").alias("target_id"))
+    known = issuer.select(F.col("issuer_id").alias("target_id"), F.coalesce("normalized_name", "issuer_name").alias("canonical_name"), "domain")
+    rows = issuer.select("issuer_id", "issuer_name").join(to, "issuer_name", "left").withColumn("target_id", F.coalesce("target_id", "issuer_id"))
+    return rows.join(known, "target_id", "left").select("issuer_id", "issuer_name", "target_id", "canonical_name", "domain")
+
+
+def merge_taxonomy(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The taxonomy after a classification: new rows replace old ones whole, rows that left the universe are kept."""
+    return merge(current, new, [key], {c: new_wins for c in new.columns if c != key})
+
+
+def set_distribution(profile: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Distribution policies overwritten by the last writer, unlike the sticky merge."""
+    return merge(profile, new, [key], {"distribution_policy": new_wins})
+
+
+def seed_instruments(current: DataFrame, seeds: DataFrame, url: str = "url", default: str = "UCITS ETF") -> DataFrame:
+    """Instruments after seeds (isin, url, issuer_id): only gaps are filled; a new one's name comes from its page's url."""
+    from ..functions.text import name_from_url
+
+    named = seeds.select("isin", name_from_url(F.col(url), default=default).alias("instrument_name"), F.lit(1).alias("ucits_flag"), "issuer_id", F.lit("active").alias("status"))
+    once = named.groupBy("isin").agg(*[F.min(c).alias(c) for c in named.columns if c != "isin"])
+    rules = dict.fromkeys(("instrument_name", "ucits_flag", "issuer_id"), first_wins) | {"status": first_wins}
+    return merge(current, once, ["isin"], rules)
+
+
+def fill_currency(listing: DataFrame, feed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blank currencies of primary listings filled from a secondary feed; filled says where."""
+    from ..functions.text import null_if_blank
+
+    new = feed.groupBy(*keys).agg(F.min(F.upper(null_if_blank(F.col("trading_currency")))).alias("_new"))
+    wanted = (F.coalesce("primary_flag", F.lit(0)) == 1) & null_if_blank(F.col("trading_currency")).isNull()
+    both = listing.join(new, list(keys), "left").withColumn("filled", wanted & F.col("_new").isNotNull())
+    return both.withColumn("trading_currency", F.when(F.col("filled"), F.col("_new")).otherwise(F.col("trading_currency"))).drop("_new")
+
+
+def backfill_issuers(instrument: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """Issuer names for instruments without an issuer, by the first word rule of their name, with the tag of the source."""
+    from ..functions.rules import classify
+
+    rows = instrument.where("issuer_id is null").withColumn("issuer_name", classify(F.upper("instrument_name"), rules))
+    return rows.where("issuer_name is not null").select("instrument_id", "issuer_name", F.lit("stage1").alias("alias_note"), F.lit("name_heuristic").alias("issuer_source"))
+
+
+def refresh_types(instrument: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Instruments with types and flags by name, and one row of how many changed, field by field; NULL equals NULL."""
+    from ..functions.text import type_flags
+
+    new = type_flags(F.col("instrument_name"))
+    both = instrument.withColumns({f"_new_{c}": v for c, v in new.items()})
+    counts = [F.count_if(~F.col(c).eqNullSafe(F.col(f"_new_{c}"))).alias(f"changed_{c}") for c in new]
+    after = both.withColumns({c: F.col(f"_new_{c}") for c in new}).drop(*[f"_new_{c}" for c in new])
+    return after, both.agg(F.count(F.lit(1)).alias("total"), *counts)
 
 
 def impute(rows: DataFrame, value: str, modes: DataFrame, keys: Sequence[str], mode: str, quality: str) -> DataFrame:
@@ -96,25 +227,28 @@ def impute(rows: DataFrame, value: str, modes: DataFrame, keys: Sequence[str], m
 
 
 def assign_ids(names: DataFrame, name: str, id_: str, existing: DataFrame) -> DataFrame:
-    """New names with ids above the existing ones, in the names' order; existing names keep theirs."""
+    """New names with ids above the existing ones, in the names' order; existing names keep theirs.
+
+    Names are numbered within their first letters and after the sum of those before, so no task numbers all of them
+    and the number of a name does not depend on how rows are spread.
+    """
     known = existing.select(name, id_)
     top = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known, name, "left_anti")
-    # ids by ranges: rows are counted per range first, so no task numbers all of them
-    ranged = fresh.repartitionByRange(F.col(name)).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known, name, "left_anti").withColumn("_part", F.substring(name, 1, 4))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_start", before).drop("_n")  # one row a partition
-    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(name)))
-    out = numbered.join(F.broadcast(starts), "_part").withColumn("_k1", F.lit(1)).join(F.broadcast(top.withColumn("_k1", F.lit(1))), "_k1")
+    starts = fresh.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", before).drop("_n")  # a row for the first letters
+    numbered = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(name)))
+    out = numbered.join(starts, "_part").withColumn("_k1", F.lit(1)).join(F.broadcast(top.withColumn("_k1", F.lit(1))), "_k1")
     return known.unionByName(out.select(name, (F.col("_top") + F.col("_start") + F.col("_k")).cast("long").alias(id_)))
 
 
 def alias_targets(rows: DataFrame, bucket: Column, id_: str, name: str) -> DataFrame:
-    """Rows of one canonical bucket point to its smallest id; rows without a bucket to themselves."""
-    w = Window.partitionBy("_b")
-    out = rows.withColumn("_b", bucket).where("_b is not null").withColumn("target_id", F.min(id_).over(w))
-    return out.select(F.col(name).alias("alias"), F.col("_b").alias("canonical"), F.col(id_).alias("own_id"), "target_id")
+    """Rows of one canonical bucket point to its smallest id; rows without a bucket to none.
+
+    The smallest ids are a grouped minimum, pre-aggregated where the rows are, so no bucket lies in one task.
+    """
+    out = rows.select(F.col(name).alias("alias"), bucket.alias("canonical"), F.col(id_).alias("own_id")).where("canonical is not null")
+    return out.join(out.groupBy("canonical").agg(F.min("own_id").alias("target_id")), "canonical").select("alias", "canonical", "own_id", "target_id")
 
 
 def version_documents(current: DataFrame, new: DataFrame, keys: Sequence[str], url: str, digest: str) -> DataFrame:
