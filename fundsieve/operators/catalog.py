@@ -94,10 +94,38 @@ def filter_options(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame
     }
 
 
+# Labels of the explorer.
+REGIONS = {"us": "United States", "em": "Emerging markets", "north_america": "North America"}
+SIZES = {"all_cap": "All cap"}
+BOND_TYPES = {"govt": "Government", "corp": "Corporate", "linkers": "Inflation-linked"}
+
+
 def explorer(rows: DataFrame) -> DataFrame:
-    """The fund view as shown: formatted fees and sizes, N.A. where a field does not apply."""
-    bond = F.col("asset_class") == "bond"
-    return rows.select("isin", "ticker", "instrument_name", "issuer", F.initcap(F.regexp_replace("asset_class", "_", " ")).alias("asset_class"), X.show_percent(F.col("ongoing_charges")).alias("fee"), X.show_amount(F.col("p_fund_size_value"), F.col("p_fund_size_currency")).alias("size"), F.when(bond, F.coalesce("bond_type", F.lit("unknown"))).otherwise("N.A.").alias("bond_type"), F.when(F.col("hedged") == 1, "Yes").when(F.col("hedged") == 0, "No").otherwise("Unknown").alias("hedged"))
+    """The fund view as it is shown: seventeen columns of labels; Unknown for what is missing, N.A. where it does not apply."""
+    asset = F.lower(F.coalesce("asset_class", F.lit("unknown")))
+    shown = lambda c: F.coalesce(c, F.lit("Unknown"))
+    of_equity = lambda c: shown(F.when(asset == "equity", c))
+    of_bond = lambda c: F.when(asset == "bond", shown(c)).otherwise("N.A.")
+    label, text = X.show_label, X.known_text
+    return rows.select(
+        shown(label(F.col("asset_class"))).alias("asset_type"),
+        shown(text(F.col("issuer"))).alias("issuer"),
+        shown(text(F.col("isin"))).alias("isin"),
+        shown(text(F.col("ticker"))).alias("ticker"),
+        shown(text(F.col("instrument_name"))).alias("fund_name"),
+        shown(X.show_amount(F.col("p_fund_size_value"), F.col("p_fund_size_currency"))).alias("fund_size"),
+        shown(label(F.col("domicile_country"))).alias("domicile"),
+        shown(X.show_income(F.col("distribution_policy"))).alias("distribution"),
+        shown(text(F.col("currency"))).alias("currency"),
+        shown(X.show_percent(F.col("ongoing_charges"))).alias("ter"),
+        shown(label(F.col("geography_region"), REGIONS)).alias("region"),
+        of_equity(label(F.col("equity_size"), SIZES)).alias("size"),
+        of_equity(label(F.col("equity_style"))).alias("style"),
+        of_equity(label(F.col("sector"))).alias("sector"),
+        shown(label(F.col("replication_method"))).alias("replication"),
+        of_bond(label(F.col("bond_type"), BOND_TYPES)).alias("bond_type"),
+        of_bond(label(F.col("duration_bucket"))).alias("duration"),
+    )
 
 
 def refresh_profile(spark: SparkSession, catalog: Catalog) -> DataFrame:
@@ -141,18 +169,60 @@ def fill_listing_aliases(listing: DataFrame, rows: DataFrame) -> DataFrame:
     return M.merge(listing, new, keys, {"primary_flag": M.first_wins, "status": M.new_wins, "trading_currency": lambda o, n: F.coalesce(X.null_if_blank(o), n)})
 
 
+def gap_report(spark: SparkSession, catalog: Catalog) -> DataFrame:
+    """A row for each universe fund with a missing field: what is missing, its tearsheet status and its latest source.
+
+    Funds without an active listing are reported too. Which fields count depends on the asset class.
+    """
+    t = lambda n: table(spark, catalog, n)
+    inst = t("instrument").where("universe_mvp_flag = 1").select("instrument_id", "isin", "instrument_name", "issuer_id")
+    listed = L.representative(t("listing"), "instrument_id", [F.col("listing_id")]).select("instrument_id", "ticker", F.col("venue_mic").alias("venue"), F.col("trading_currency").alias("currency"))
+    issuer = t("issuer").select("issuer_id", F.coalesce("normalized_name", "issuer_name").alias("issuer"))
+    profile = t("product_profile").select("instrument_id", "ongoing_charges", "benchmark_name", "distribution_policy", F.col("fund_size_value").alias("fund_size"), "domicile_country", "replication_method")
+    tax = t("instrument_taxonomy").select("instrument_id", "asset_class", "geography_region", "equity_size", "equity_style", "sector", "bond_type", "duration_bucket")
+    logs = L.latest_by_source(t("issuer_metadata_snapshot").withColumn("source", F.coalesce("source", F.lit("?"))), "instrument_id", "source", "ft_tearsheet", ["asof_date", "id"], ["source", "source_url", "quality_flag", "raw_json"])
+    rows = inst.join(listed, "instrument_id", "left").join(issuer, "issuer_id", "left").join(profile, "instrument_id", "left").join(tax, "instrument_id", "left").join(logs, "instrument_id", "left")
+    told = lambda c: F.when(F.lower(c) != "unknown", F.col(c))
+    rows = rows.withColumns({"region": told("geography_region"), "bond_type": told("bond_type"), "duration_bucket": told("duration_bucket")})
+    equity, bond = F.col("asset_class") == "equity", F.col("asset_class") == "bond"
+    fields = ["ongoing_charges", "benchmark_name", "distribution_policy", "fund_size", "domicile_country", "region", "replication_method", "equity_size", "equity_style", "sector", "bond_type", "duration_bucket"]
+    expected = {"equity_size": equity, "equity_style": equity, "sector": equity, "bond_type": bond, "duration_bucket": bond}
+    rows = rows.withColumns(
+        {
+            "issuer": F.coalesce("issuer", F.lit("Unknown")),
+            "asset_class": F.coalesce("asset_class", F.lit("unknown")),
+            "ft_status": F.coalesce("ft_tearsheet_quality_flag", F.lit("not_attempted")),
+            "ft_symbol": F.get_json_object("ft_tearsheet_raw_json", "$.symbol"),
+            "ft_match_type": F.get_json_object("ft_tearsheet_raw_json", "$.match_type"),
+            "latest_metadata_source": F.col("latest_source"),
+            "latest_metadata_quality": F.col("latest_quality_flag"),
+        }
+    )
+    keep = ("issuer", "ticker", "venue", "currency", "asset_class", "instrument_name", "ft_status", "ft_match_type", "ft_symbol", "latest_metadata_source", "latest_metadata_quality")
+    return C.gap_rows(rows, "isin", fields, expected, keep)
+
+
+def gap_histograms(gaps: DataFrame) -> DataFrame:
+    """facet, value, n: missing fields, tearsheet status, latest sources and issuers of a gap report."""
+    return C.gap_counts(gaps, {"ft_status": F.col("ft_status"), "latest_source": F.coalesce("latest_metadata_source", F.lit("none")), "issuer": F.col("issuer")})
+
+
 def completeness(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame]:
-    """The whole report: universe, profile, taxonomy and fee coverage, gaps and their histogram."""
-    rows = fund_view(spark, catalog)
+    """The whole report: universe, profile, taxonomy and fee coverage, gaps and their histogram.
+
+    The fund view is joined once and persisted for the reports that read it; Spark drops it when it is no longer used.
+    """
+    rows = fund_view(spark, catalog).persist()
     inst = table(spark, catalog, "instrument").where("universe_mvp_flag = 1")
     primary = active_primary(table(spark, catalog, "listing")).select("instrument_id", "venue_mic")
     equity, bond = F.col("asset_class") == "equity", F.col("asset_class") == "bond"
-    gaps = C.gap_rows(rows, "isin", ["ongoing_charges", "distribution_policy", "benchmark_name", "p_fund_size_value", "replication_method", "domicile_country", "equity_size", "equity_style", "sector", "bond_type", "duration_bucket"], {"equity_size": equity, "equity_style": equity, "sector": equity, "bond_type": bond, "duration_bucket": bond}, ("issuer",))
+    by_class = {"equity_size": equity, "equity_style": equity, "sector": equity, "bond_type": bond, "duration_bucket": bond}
+    gaps = gap_report(spark, catalog)
     return {
         "universe": inst.join(primary, "instrument_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("status", F.lit("active")) == "active").alias("active"), F.count("venue_mic").alias("with_primary")),
         "venues": C.count_by(primary.join(inst, "instrument_id", "left_semi"), F.coalesce("venue_mic", F.lit("unknown"))),
-        "profile": C.coverage(rows, ["ongoing_charges", "distribution_policy", "benchmark_name", "p_fund_size_value", "replication_method", "domicile_country", "hedged"]),
-        "taxonomy": C.coverage(rows, ["asset_class", "geography_region", "equity_size", "equity_style", "sector", "bond_type", "duration_bucket"], where={"equity_size": equity, "equity_style": equity, "sector": equity, "bond_type": bond, "duration_bucket": bond}),
+        "profile": C.coverage(rows.withColumnsRenamed({"p_fund_size_value": "fund_size_value"}), ["ongoing_charges", "distribution_policy", "benchmark_name", "p_asset_class_hint", "domicile_country", "fund_size_value", "p_fund_size_currency", "p_fund_size_asof", "p_fund_size_scope", "replication_method", "hedged", "p_equity_size_hint", "p_equity_style_hint", "p_sector_hint"]),
+        "taxonomy": C.coverage(rows, ["asset_class", "geography_region", "equity_size", "equity_style", "sector", "bond_type", "duration_bucket"], where=by_class),
         "fees": rows.agg(F.count_if(F.col("ongoing_charges").isNull()).alias("missing_fee"), F.count_if(F.col("ongoing_charges").isNull() & V.blank(F.col("currency"))).alias("missing_both")),
         "fee_issuers": C.count_by(rows.where("ongoing_charges is null"), F.coalesce("issuer", F.lit("unknown")), "issuer").limit(10),
         "gaps": gaps,
@@ -160,30 +230,73 @@ def completeness(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame]:
     }
 
 
+def completeness_report(spark: SparkSession, catalog: Catalog, asof: str, mixes: DataFrame) -> dict[str, DataFrame]:
+    """The report over refreshed read models, with gap histograms and the readiness of strategies."""
+    fresh = refresh_read_models(spark, catalog, asof)
+    funds = candidates(spark, fresh)
+    run = S.Run(funds)
+    return completeness(spark, fresh) | {"histograms": gap_histograms(gap_report(spark, fresh)), "strict": S.strict_counts(funds), "readiness": S.emitted(mixes, run), "attempts": run.attempt_counts()}
+
+
+def refresh_read_models(spark: SparkSession, catalog: Catalog, asof: str) -> dict[str, DataFrame]:
+    """The catalogue with its profile merged from the logs and its taxonomy classified anew for the universe."""
+    from . import classify as K
+
+    profile = refresh_profile(spark, catalog)
+    inst = table(spark, catalog, "instrument").where("universe_mvp_flag = 1").select("instrument_id", "isin", "instrument_name", "instrument_type")
+    primary = active_primary(table(spark, catalog, "listing")).select("instrument_id").distinct()
+    rows = inst.join(primary, "instrument_id", "left_semi").join(profile, "instrument_id", "left")
+    names = [c for c in table(spark, catalog, "instrument_taxonomy").columns if c != "instrument_id"]
+    new = K.classify(rows, asof, ("instrument_id",)).select("instrument_id", *names)
+    return dict(catalog) | {"product_profile": profile, "instrument_taxonomy": M.merge_taxonomy(table(spark, catalog, "instrument_taxonomy"), new, "instrument_id")}
+
+
+def candidates(spark: SparkSession, catalog: Catalog, venues: Sequence[str] = S.VENUES, exceptions: bool = True) -> DataFrame:
+    """The base relation of screening: universe funds on the venues with the current cost as their fee.
+
+    The fee is that of the cost log, not the profile's, which keeps old values. Gold exceptions are flagged.
+    """
+    rows = fund_view(spark, catalog).where(F.col("primary_venue").isin(*venues)).withColumn("gold_policy_exception_flag", F.lit(0))
+    if exceptions:
+        rows = rows.unionByName(gold_exceptions(spark, catalog, venues).withColumn("gold_policy_exception_flag", F.lit(1)))
+    return rows.withColumns({"ongoing_charges": F.col("current_cost"), "issuer_normalized": F.coalesce("issuer", F.lit("")), "currency": X.null_if_blank(F.col("currency"))}).withColumnsRenamed({"p_fund_size_value": "fund_size_value", "p_fund_size_currency": "fund_size_currency"})
+
+
 def gold_exceptions(spark: SparkSession, catalog: Catalog, venues: Sequence[str] = S.VENUES) -> DataFrame:
-    """Physical gold outside the universe on the venues: gold-like names, not levered, no gold equity."""
+    """Physical gold outside the universe on the venues: gold-like names, not levered, classified as gold."""
+    from . import classify as K
+
     rows = fund_view(spark, catalog, False).where((F.coalesce("universe_mvp_flag", F.lit(0)) == 0) & F.col("primary_venue").isin(*venues))
     up = F.upper("instrument_name")
-    plain = (F.coalesce("leverage_flag", F.lit(0)) == 0) & (F.coalesce("inverse_flag", F.lit(0)) == 0) & ~up.rlike(S.LEVERED) & ~up.rlike(S.GOLD_EQUITY)
-    return rows.where((up.contains("GOLD") | up.contains("BULLION")) & plain)
+    plain = (F.coalesce("leverage_flag", F.lit(0)) == 0) & (F.coalesce("inverse_flag", F.lit(0)) == 0) & ~up.rlike(S.LEVERED)
+    rows = rows.where((up.contains("GOLD") | up.contains("BULLION")) & plain)
+    inputs = rows.select("instrument_id", "isin", "instrument_name", "instrument_type", "benchmark_name", F.col("p_asset_class_hint").alias("asset_class_hint"))
+    found = K.classify(inputs, "1970-01-01", ("instrument_id",)).where("asset_class = 'commodity' and commodity_type = 'gold'")
+    told = ["asset_class", "geography_scope", "geography_region", "geography_country", "equity_size", "equity_style", "factor", "sector", "theme", "bond_type", "duration_bucket", "commodity_type", "cash_proxy_flag", "gold_flag", "cash_flag", "govt_bond_flag"]
+    return rows.join(found.select("instrument_id", *[F.col(c).alias(f"_{c}") for c in told]), "instrument_id").withColumns({c: F.col(f"_{c}") for c in told}).drop(*[f"_{c}" for c in told])
 
 
 def export_bundle(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame]:
     """The tables restricted to the universe and the gold exceptions; active alias listings stay, costs are the current ones."""
-    ids = table(spark, catalog, "instrument").where("universe_mvp_flag = 1").select("instrument_id").union(gold_exceptions(spark, catalog).select("instrument_id")).distinct()
+    ids = table(spark, catalog, "instrument").where("universe_mvp_flag = 1").select("instrument_id").union(gold_exceptions(spark, catalog).select("instrument_id")).distinct().persist()  # read by every table
     t = lambda n: table(spark, catalog, n)
     listing = t("listing").where(F.coalesce("status", F.lit("active")) == "active")
     out = V.closure({"instrument": (t("instrument"), "instrument_id"), "listing": (listing, "instrument_id"), "product_profile": (t("product_profile"), "instrument_id"), "instrument_taxonomy": (t("instrument_taxonomy"), "instrument_id"), "cost_snapshot": (current_costs(t("cost_snapshot")), "instrument_id")}, ids, "instrument_id")
     return out | V.closure({"issuer": (t("issuer"), "issuer_id")}, out["instrument"].select("issuer_id"), "issuer_id")
 
 
-def smoke_check(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    """check, ok: the list, the facets and the shortlist of a bundle give rows."""
+def smoke_check(spark: SparkSession, catalog: Catalog, custom: Sequence[tuple[str, float]] = (("equity_global", 60.0), ("short_govt_bonds", 40.0))) -> DataFrame:
+    """check, ok: a bundle gives a list, facets, gold, rows of a custom mix and candidates by strict filters."""
     page, total = list_funds(spark, catalog)
     facets = filter_options(spark, catalog)["facets"]
-    picked = S.shortlist(fund_view(spark, catalog).withColumn("issuer_normalized", F.col("issuer")))
+    funds = candidates(spark, catalog)
+    run = S.Run(funds)
+    picked = run.picked().select("bucket", "isin")
+    mixed = S.strategy_rows(S.custom_mix(spark, list(custom), whole=True), picked)
     one = lambda name, df: df.agg((F.count(F.lit(1)) > 0).alias("ok")).select(F.lit(name).alias("check"), "ok")
-    return one("list", page).unionByName(one("facets", facets)).unionByName(one("shortlist", picked)).unionByName(total.select(F.lit("total").alias("check"), (F.col("total") > 0).alias("ok")))
+    positive = lambda name, df, c: df.select(F.lit(name).alias("check"), (F.col(c) > 0).alias("ok"))
+    checks = one("list", page).unionByName(one("facets", facets)).unionByName(one("shortlist", picked)).unionByName(positive("total", total, "total"))
+    return checks.unionByName(one("gold", picked.where("bucket = 'gold'"))).unionByName(one("custom", mixed)).unionByName(positive("strict", S.strict_counts(funds), "kept"))
 
 
 def manifest(spark: SparkSession, catalog: Catalog) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import catalogue, more  # noqa: F401
+from . import catalogue, funds, more  # noqa: F401

@@ -360,16 +360,6 @@ def export_closure(spark, sf_dir):
     return V.bundle_counts(export(spark, sf_dir))
 
 
-@query("SELECT o_orderstatus, NULL::BIGINT AS n, NULL::VARCHAR AS only_in FROM orders WHERE false")
-def export_parity(spark, sf_dir):
-    """Answers that differ between source and bundle: none."""
-    bundle = export(spark, sf_dir)["orders"]
-    ids = t(spark, sf_dir, "customer").where("c_nationkey in (1, 2) or c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
-    source = t(spark, sf_dir, "orders").join(ids, "o_custkey", "left_semi")
-    ask = lambda df: df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return V.parity(ask(source), ask(bundle))
-
-
 @query(
     """WITH b AS (SELECT p_partkey, p_name, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'first' WHEN p_brand LIKE 'Brand#1%' THEN 'teens' END AS canonical FROM part)
     SELECT p_name AS alias, canonical, p_partkey AS own_id, min(p_partkey) OVER (PARTITION BY canonical) AS target_id FROM b WHERE canonical IS NOT NULL"""

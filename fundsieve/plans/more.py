@@ -75,14 +75,14 @@ def issuer_by_url(spark, sf_dir):
 
 
 @query(
-    """SELECT c_nationkey, c_mktsegment, coalesce(n.c_custkey, o.c_custkey) AS c_custkey FROM (SELECT c_nationkey, c_mktsegment, max(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2) o FULL JOIN (SELECT c_nationkey, c_mktsegment, max(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 6 = 1 GROUP BY 1, 2) n USING (c_nationkey, c_mktsegment)"""
+    """SELECT c_nationkey, c_mktsegment, coalesce(n.c_custkey, o.c_custkey) AS c_custkey FROM (SELECT c_nationkey, c_mktsegment, max(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1, 2) o FULL JOIN (SELECT c_nationkey, c_mktsegment, max(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1, 2) n USING (c_nationkey, c_mktsegment)"""
 )
 def url_map_upsert(spark, sf_dir):
     """One value a pair of keys: the last new one wins over the stored one."""
     keys = ["c_nationkey", "c_mktsegment"]
     last = lambda rows: rows.groupBy(*keys).agg(F.max("c_custkey").alias("c_custkey"))
     rows = t(spark, sf_dir, "customer")
-    return M.merge(last(rows.where("c_custkey % 2 = 0")), last(rows.where("c_custkey % 6 = 1")), keys, {"c_custkey": M.sticky})
+    return M.merge(last(rows.where("c_custkey % 2 = 0")), last(rows.where("c_custkey % 2 = 1")), keys, {"c_custkey": M.sticky})
 
 
 @query(
@@ -94,16 +94,6 @@ def fallback_chain(spark, sf_dir):
     return X.first_success(rows, "user_id", "event_id", "value", "event_type")
 
 
-@query(
-    """SELECT o_custkey, coalesce(max(o_orderkey) FILTER (WHERE o_orderstatus = 'P'), max(o_orderkey) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 200000), max(o_orderkey)) AS known FROM orders GROUP BY 1"""
-)
-def known_url(spark, sf_dir):
-    """The mapped row, else the newest of a second source that qualifies, else the newest of all, in one aggregate."""
-    newest = lambda test: F.max(F.when(test, F.col("o_orderkey")))
-    s = F.col("o_orderstatus")
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.coalesce(newest(s == "P"), newest((s == "F") & (F.col("o_totalprice") > 200000)), F.max("o_orderkey")).alias("known"))
-
-
 MIXES = {"careful": [("any_mid", 60.0), ("econ", 40.0)], "bold": [("promo_large", 50.0), ("large_any", 50.0)]}
 
 
@@ -130,21 +120,6 @@ def export_ids(spark, sf_dir):
     return a.union(t(spark, sf_dir, "orders").where("o_totalprice > 490000").select("o_custkey")).distinct()
 
 
-@query(
-    """WITH a AS (SELECT p_partkey AS target, p_name, p_size FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS page, p_name, p_size FROM part WHERE p_partkey % 2 = 1),
-    e AS (SELECT target, page, 0 AS rank FROM a JOIN b ON page = target + 1 AND a.p_size = b.p_size UNION ALL SELECT target, page, 1 FROM a JOIN b ON a.p_name = b.p_name AND a.p_size = b.p_size)
-    SELECT target, arg_min(page, (rank, page)) AS page, min(rank) AS rank FROM e GROUP BY 1"""
-)
-def identity_resolution(spark, sf_dir):
-    """Exact matches first, else the same family of names; two equi joins, then the best of both."""
-    rows = t(spark, sf_dir, "part").select("p_partkey", "p_size", T.family_key(F.col("p_name")).alias("family"))
-    a = rows.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("target"), "p_size", "family")
-    b = rows.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("page"), F.col("p_size").alias("size_b"), F.col("family").alias("family_b"))
-    exact = a.join(b, (F.col("page") == F.col("target") + 1) & (F.col("p_size") == F.col("size_b"))).select("target", "page", F.lit(0).alias("rank"))
-    family = a.join(b, (F.col("family") == F.col("family_b")) & (F.col("p_size") == F.col("size_b"))).select("target", "page", F.lit(1).alias("rank"))
-    return exact.unionByName(family).groupBy("target").agg(F.min_by("page", F.struct("rank", "page")).alias("page"), F.min("rank").alias("rank"))
-
-
 @query(
     """SELECT 'all' AS scope, count(*) AS total, sum((c_acctbal > 0)::INT)::BIGINT AS active, sum((c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'))::INT)::BIGINT AS with_primary FROM customer
     UNION ALL SELECT 'nation ' || c_nationkey, count(*), sum((c_acctbal > 0)::INT)::BIGINT, sum((c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'))::INT)::BIGINT FROM customer GROUP BY c_nationkey"""
@@ -173,15 +148,6 @@ def bucket_table(spark, sf_dir):
     return top.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(rows, lambda r: r["label"]), "; ").alias("line"))
 
 
-@query(
-    """SELECT count(*) AS total, sum((p_type IS DISTINCT FROM nt)::INT)::BIGINT AS changed_type, sum((b IS DISTINCT FROM nb)::INT)::BIGINT AS changed_band FROM (SELECT p_type, CASE WHEN contains(p_name, 'red') THEN 'PROMO' ELSE p_type END AS nt, CASE WHEN p_size > 25 THEN 1 END AS b, CASE WHEN p_size > 20 THEN 1 END AS nb FROM part)"""
-)
-def refresh_types(spark, sf_dir):
-    """How many rows a new classification changes, field by field; NULL equals NULL."""
-    rows = t(spark, sf_dir, "part").select("p_type", F.when(F.col("p_name").contains("red"), "PROMO").otherwise(F.col("p_type")).alias("nt"), F.when(F.col("p_size") > 25, 1).alias("b"), F.when(F.col("p_size") > 20, 1).alias("nb"))
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("p_type").eqNullSafe(F.col("nt"))).alias("changed_type"), F.count_if(~F.col("b").eqNullSafe(F.col("nb"))).alias("changed_band"))
-
-
 @query("SELECT p_partkey, p_retailprice FROM part WHERE (p_retailprice, p_partkey) > (905.0, 50) ORDER BY p_retailprice, p_partkey LIMIT 50")
 def page_after(spark, sf_dir):
     """The page after a given row, without skipping those before."""
@@ -234,37 +200,3 @@ def fund_taxonomy(spark, sf_dir):
     old = K.equity_region(F.col("geography_region"), F.col("geography_country"), F.col("sector"))
     shown = ("p_partkey", "asset_class", "geography_scope", "geography_region", "geography_country", "equity_size", "equity_style", "factor", "sector", "theme", "bond_type", "duration_bucket", "duration_years_low", "duration_years_high", "commodity_type", "cash_flag", "govt_bond_flag")
     return tax.select(*shown, F.when(F.col("asset_class") == "equity", old).alias("equity_region"))
-
-
-#: Fund-like names for parts, dealt by key, of the shortlist and the gold policy.
-NAMES = ("MSCI World", "MSCI USA Small Cap Value", "Euro Govt Bond 7-10yr", "US Treasury 20+ Year Bond", "Physical Gold", "Gold Miners", "Global Corp Bond EUR Hedged", "Robotics and AI", "Money Market Overnight", "Emerging Markets Dividend", "S&P 500", "Broad Commodities")
-
-
-def funds(spark, sf_dir):
-    k = F.col("p_partkey")
-    name = F.element_at(F.array(*map(F.lit, NAMES)), (k % len(NAMES) + 1).cast("int"))
-    kind = F.when(name.contains("Gold") & ~name.contains("Miners"), "ETC").otherwise("ETF")
-    rows = t(spark, sf_dir, "part").select(F.concat(F.lit("IE"), F.lpad(k.cast("string"), 10, "0")).alias("isin"), name.alias("instrument_name"), kind.alias("instrument_type"), "p_brand", "p_size", "p_retailprice")
-    return rows
-
-
-@query(
-    """WITH f AS (SELECT p_partkey, p_partkey % 12 AS m, 'IE' || lpad(p_partkey::VARCHAR, 10, '0') AS isin, CASE WHEN p_size % 3 = 0 THEN 'XETR' ELSE 'XLON' END AS venue, CASE WHEN p_size % 7 > 0 THEN p_retailprice / 1000 END AS fee FROM part),
-    b(bucket, m) AS (VALUES ('equity_global', 0), ('gold', 4), ('cash', 8), ('broad_commodities', 11), ('equity_us', 10), ('corporate_bonds', 6))
-    SELECT bucket, rank, isin FROM (SELECT bucket, isin, row_number() OVER (PARTITION BY bucket ORDER BY fee, CASE venue WHEN 'XLON' THEN 0 ELSE 1 END, isin) AS rank FROM f JOIN b USING (m) WHERE fee IS NOT NULL) WHERE rank <= 5"""
-)
-def fund_shortlist(spark, sf_dir):
-    """The five best funds of some buckets, through classification, hard filters, matching and ranking."""
-    rows = funds(spark, sf_dir)
-    keep = ("isin", "instrument_name", "instrument_type", "p_size", "p_retailprice")
-    rows = K.classify(rows, "2026-01-01", keep).withColumns({"leverage_flag": F.lit(0), "inverse_flag": F.lit(0), "issuer_normalized": F.lit("x"), "currency": F.lit("USD"), "primary_venue": F.when(F.col("p_size") % 3 == 0, "XETR").otherwise("XLON"), "ongoing_charges": F.when(F.col("p_size") % 7 > 0, F.col("p_retailprice") / 1000)})
-    found = S.shortlist(rows).where(F.col("bucket").isin("equity_global", "gold", "cash", "broad_commodities", "equity_us", "corporate_bonds"))
-    return found.select("bucket", "rank", "isin")
-
-
-@query("SELECT count(*) AS total, sum((p_partkey % 12 = 4)::INT)::BIGINT AS gold, sum((p_partkey % 12 = 5)::INT)::BIGINT AS miners FROM part")
-def gold_policy(spark, sf_dir):
-    """Gold funds, and gold equity that is left out."""
-    rows = funds(spark, sf_dir).withColumn("universe_mvp_flag", F.lit(1))
-    policy = S.gold_policy(rows)
-    return policy.select(F.lit(1).alias("j"), F.col("eligible").alias("gold"), F.col("ignored").alias("miners")).join(C.count_by(rows.select(F.lit(1).alias("v")), F.col("v"), "j"), "j").select(F.col("n").alias("total"), "gold", "miners")
