@@ -18,7 +18,10 @@ component with null ids only has a null component_id. Extra columns are not read
 similar() is the pipeline's setting: sets of five-word shingles and Jaccard similarity 0.8. Such sets differ in 15 % of
 a SimHash's bits, 10 of 64, which no exact keys cover, so its SimHash has 256 bits and many tables of keys. A key is
 the Golay codeword of 23 bits with as many plain bits as keep keys small; the number of tables follows from an expected
-recall of 0.995 at the similarity. Pairs that meet are verified on the shingles of the texts.
+recall of 0.995 at the similarity. Pairs that meet are verified on the shingles of the texts. They are met in steps,
+so that a large group of copies is not paired with itself: the first vertex of a key with all others of the key; in
+crowded keys, those that leaders connect, block by block in one task each, of which only links come out; then, of what these links have not joined, every other pair of a key. No pair that meets in a key is left, unless its
+components are one already.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, small
@@ -43,9 +46,13 @@ CROWD = 64
 GENERATOR = 0b101011100011
 #: The setting of similar(): words of a shingle, Jaccard similarity, bits of its SimHash and expected recall.
 STAGE_SHINGLE, LEAST, WIDE, RECALL = 5, 0.8, 256, 0.995
-#: Neighbours of a key that a vertex is paired with; bits of the first 64 and of all in which a pair may differ before
-#: its texts are compared (10 and 39 are expected at the similarity, 12 and 48 for the shortest texts that can reach it).
-NEXT, FIRST_BITS, ALL_BITS = 8, 24, 80
+#: Bits of the first 64 and of all in which a pair may differ before its texts are compared (10 and 39 are expected at
+#: the similarity, 12 and 48 for the shortest texts that can reach it).
+FIRST_BITS, ALL_BITS = 24, 68
+#: Vertices from which a key is crowded; words of one block of a crowd.
+CROWDED, BLOCK_WORDS = 12, 50_000
+#: Linked vertices whose component is broadcast to the keys; more are joined.
+LINKED_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -158,18 +165,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit words."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles, each made of the hashes of its words."""
+    digest = xxhash.xxh64_intdigest
+    words = np.array([digest(w.encode("utf-8", "surrogatepass"), SEED) for w in WORDS.findall((text or "").lower())], np.uint64)
+    if not len(words):
+        return words
+    k = min(STAGE_SHINGLE, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    for j in range(k):
+        h = mixed(h + words[j : len(words) - k + 1 + j])
+    return np.unique(h)
+
+
 def wide_fingerprint(text: str | None) -> tuple[bytes, bytes]:
     """A digest of a text's set of word shingles, empty without words, and its SimHash of WIDE bits."""
-    h = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), SEED) for s in word_shingles(text)], np.uint64)
+    h = shingle_hashes(text)
     if not len(h):
         return b"", bytes(WIDE // 8)
-    h.sort()
     out = []
     for j in range(WIDE // 64):
-        x = h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
+        x = mixed(h + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
         counts = np.zeros(64, np.int64)
         for at in range(0, len(x), 4096):
             counts += np.unpackbits(x[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -177,9 +200,13 @@ def wide_fingerprint(text: str | None) -> tuple[bytes, bytes]:
     return xxhash.xxh3_128_digest(h.tobytes()), b"".join(out)
 
 
+#: The words of similar().
+WORDS = re.compile(r"\w+")
+
+
 def word_shingles(text: str | None) -> set[str]:
     r"""The distinct runs of STAGE_SHINGLE \w+ words in lower case; a shorter text is one shingle."""
-    ws = re.findall(r"\w+", (text or "").lower())
+    ws = WORDS.findall((text or "").lower())
     return {" ".join(ws[i : i + STAGE_SHINGLE]) for i in range(max(len(ws) - STAGE_SHINGLE + 1, min(len(ws), 1)))}
 
 
@@ -222,36 +249,109 @@ def table_keys(classes: DataFrame, plain: int, tables: int) -> DataFrame:
     return classes.select("id", "fp").mapInArrow(run, "key long, id long, f long")
 
 
-def met_pairs(keys: DataFrame) -> DataFrame:
-    """u, v: vertices of one key, each with the NEXT before it by id and with the key's first, near in 64 bits."""
+def near(x: Column, y: Column) -> Column:
+    return F.bit_count(x.bitwiseXOR(y)) <= FIRST_BITS
 
-    def run(batches):
-        none = np.zeros(0, np.int64)
-        key0, id0, f0 = none, none, none
-        lead = None  # key, id and bits of the first of the run that goes on
+
+def led(keys: DataFrame) -> DataFrame:
+    """key, id, f, first, near, n: each vertex of a key of n with the key's first, and whether they are near in 64 bits.
+
+    The first is a grouped minimum that is joined back, so a key that very many vertices share is split as the join is.
+    """
+    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.min_by("f", "id").alias("first_f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = keys.join(first, "key").select("key", "id", "f", "first", near(F.col("f"), F.col("first_f")).alias("near"), "n")
+    return rows.where("n > 2 or (near and id <> first)")
+
+
+def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the root of id and, as lead, that of first; found: vertex, root."""
+    known = small(found, found.count(), LINKED_ROWS)
+    of = lambda df, c, name: df.join(known.select(F.col("vertex").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    return of(of(rows, "id", "root"), "first", "lead")
+
+
+def crowds(rows: DataFrame) -> DataFrame:
+    """id, crowd: the vertices that crowded keys bring together, through leaders that they are near to."""
+    met = rows.where((F.col("n") >= CROWDED) & F.col("near") & (F.col("id") != F.col("first"))).select(F.col("id").alias("u"), F.col("first").alias("v"))
+    return with_roots(components(met)).select(F.col("vertex").alias("id"), F.col("root").alias("crowd"))
+
+
+def with_roots(found: DataFrame) -> DataFrame:
+    """vertex, root with the roots as vertices of their own."""
+    return found.unionByName(found.select(F.col("root").alias("vertex"), "root").distinct())
+
+
+def crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """u, v: links of the similarity `least` or more between the components of one crowd, enough of them to join all.
+
+    Vertices of a crowd are dealt into blocks of about BLOCK_WORDS / 2 words and each pair of blocks is compared by itself:
+    near fingerprints first, then their shingles. Pairs that the links of the task have joined are not compared again.
+    """
+
+    def sets(batches):
         for b in batches:
-            if not b.num_rows:
+            made = [shingle_hashes(t) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([m.tobytes() for m in made], pa.binary())], ["id", "crowd", "root", "fp", "hashes"])
+
+    def compare(batches):
+        for whole in batches:
+            for at in range(whole.num_rows):
+                left, right = (whole.column(i).slice(at, 1).to_pylist()[0] for i in (0, 1))
+                out = block_links(left, right, least)
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    roots = small(found, found.count(), LINKED_ROWS)
+    of = crowd.join(classes.select("id", "fp", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "id")
+    of = durable(of.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "crowds")
+    texts = docs.join(small(of, of.count(), LINKED_ROWS), ["doc_id", "text_hash"]).select("id", "crowd", "root", "fp", "text")
+    made = durable(texts.mapInArrow(sets, "id long, crowd long, root long, fp binary, hashes binary"), "sets").dropDuplicates(["id"])
+    sizes = made.groupBy("crowd").agg(F.ceil(F.sum(F.length("hashes")) / (4 * BLOCK_WORDS)).cast("long").alias("parts"))
+    dealt = made.join(small(sizes, sizes.count()), "crowd").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    packed = durable(dealt.groupBy("crowd", "part").agg(F.collect_list(F.struct("id", "root", "fp", "hashes")).alias("block")), "blocks")
+    a, b = (packed.select("crowd", F.col("part").alias(f"{x}_part"), F.col("block").alias(x)) for x in "ab")
+    pairs = a.join(b, "crowd").where("a_part <= b_part").select("a", "b")
+    return pairs.repartition(F.xxhash64(F.col("a")[0]["id"], F.col("b")[0]["id"])).mapInArrow(compare, "u long, v long").distinct()
+
+
+def block_links(left: list, right: list, least: float) -> list[tuple[int, int]]:
+    """Links between two blocks of vertices (id, root, fp, hashes) that join all components that any link joins."""
+    x, y = (np.frombuffer(b"".join(r["fp"] for r in rows), np.uint64).reshape(len(rows), -1) for rows in (left, right))
+    xs, ys = ([np.frombuffer(r["hashes"], np.uint64) for r in rows] for rows in (left, right))
+    head: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while head.get(v, v) != v:
+            head[v] = head.get(head[v], head[v])
+            v = head[v]
+        return v
+
+    out = []
+    for i, r in enumerate(left):
+        for j in np.flatnonzero(np.bitwise_count(x[i] ^ y).sum(axis=1) <= ALL_BITS):
+            s = right[j]
+            m, n = len(xs[i]), len(ys[j])
+            if r["id"] >= s["id"] and left is right or top(r["root"]) == top(s["root"]) or min(m, n) < least * max(m, n):
                 continue
-            old = len(key0)
-            key, ids, f = (np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate((key0, id0, f0)))
-            n = len(key)
-            start = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0))
-            first_id, first_f = ids[start], f[start]
-            if lead and lead[0] == key[0]:
-                first_id[start == 0], first_f[start == 0] = lead[1:]
-            found = [(ids[old:], first_id[old:], f[old:] ^ first_f[old:])]
-            for k in range(1, NEXT + 1):
-                i = np.arange(max(old, k), n)
-                i = i[key[i] == key[i - k]]
-                found.append((ids[i], ids[i - k], f[i] ^ f[i - k]))
-            u, v, x = map(np.concatenate, zip(*found))
-            near = (np.bitwise_count(x.view(np.uint64)) <= FIRST_BITS) & (u != v)
-            both = np.unique(np.stack([np.maximum(u[near], v[near]), np.minimum(u[near], v[near])], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
-            lead = (key[-1], first_id[-1], first_f[-1])
-            key0, id0, f0 = key[-NEXT:], ids[-NEXT:], f[-NEXT:]
-
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "u long, v long").distinct()
+            common = len(np.intersect1d(xs[i], ys[j], assume_unique=True))
+            if common >= least * (m + n - common):
+                head[top(r["root"])] = top(s["root"])
+                out.append((max(r["id"], s["id"]), min(r["id"], s["id"])))
+    return out
+
+
+def apart(rows: DataFrame, found: DataFrame, crowd: DataFrame) -> DataFrame:
+    """u, v: pairs of one key, neither its first nor of one crowd, that no link has joined yet and that are near.
+
+    Of a pair one at least is joined to others than the key's first is. A large group of copies is joined to the first
+    of its keys, so only what is not of the group is paired with it.
+    """
+    told = rooted(rows.where("n > 2 and id <> first"), found).join(small(crowd, crowd.count(), LINKED_ROWS), "id", "left")
+    told = told.select("key", "id", "f", "root", "crowd", (F.col("root") != F.col("lead")).alias("other"))
+    u, v = (told.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "f", "root", "crowd", "other")]) for x in "uv")
+    once = ~F.col("v_other") | (F.col("u_id") < F.col("v_id"))
+    new = (F.col("u_root") != F.col("v_root")) & F.coalesce(F.col("u_crowd") != F.col("v_crowd"), F.lit(True))
+    met = u.where("u_other").join(v, "key").where(new & once & near(F.col("u_f"), F.col("v_f")))
+    return met.select(F.greatest("u_id", "v_id").alias("u"), F.least("u_id", "v_id").alias("v")).distinct()
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -267,8 +367,8 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_fp", "v_fp").mapInArrow(run, "u long, v long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs of ids whose texts have shingle sets of the similarity `least` or more."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs of classes whose texts have shingle sets of the similarity `least` or more."""
 
     def run(batches):
         for b in batches:
@@ -279,28 +379,53 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
                 kept.append(common >= least * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = durable(docs.join(small(ids, ids.count()), "id", "left_semi").select("id", "text"), "texts")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(classes.select("id", "first.*"), "id")
+    asked = durable(ids.select("id", "doc_id", "text_hash"), "asked")
+    texts = docs.join(small(asked, asked.count(), LINKED_ROWS), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
+    texts = durable(texts, "texts")
     of = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
 def similar(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id: the smallest doc_id that links of shingle similarity `least` or more reach; no null ids.
+    """doc_id, text_hash, n, component_id, first: one row for each id and text, and how many rows have them; no null ids.
 
-    Ids are vertices, so rows that share one are together; texts with the same shingles, or without any, are linked.
+    component_id is the smallest doc_id that links of shingle similarity `least` or more reach; first marks the text of
+    that id that stands for the component. Texts with the same shingles, or without any, are linked. Of an id with
+    several texts each is judged on its own.
     """
 
     def run(batches):
         for b in batches:
-            made = [wide_fingerprint(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["id", "shingles", "fp"])
-
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    marked = durable(docs.mapInArrow(run, "id long, shingles binary, fp binary"), "wide")
-    classes = durable(marked.groupBy("shingles", "fp").agg(F.min("id").alias("first")), "classes")
-    same = marked.join(classes, ["shingles", "fp"]).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    worded = classes.where(F.length("shingles") > 0).select(F.col("first").alias("id"), "fp")
-    met = durable(met_pairs(table_keys(worded, *key_plan(worded.count(), least))), "met")
-    found = components(verified(durable(near_pairs(met, worded), "near-pairs"), docs, least).unionByName(same))
-    return marked.select(F.col("id").alias("doc_id")).distinct().join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+            made = [wide_fingerprint(t) for t in b.column(2).to_pylist()]
+            columns = [b.column(0), b.column(1), *(pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "shingles", "fp"])
+
+    docs = with_text_hash(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).where("doc_id is not null")
+    marked = durable(docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, shingles binary, fp binary"), "wide")
+    grouped = marked.groupBy("shingles", "fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = durable(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    worded = classes.where(F.length("shingles") > 0).select("id", "fp")
+    rows = durable(led(table_keys(worded, *key_plan(worded.count(), least))), "led")
+    check = lambda met: durable(verified(durable(near_pairs(met, worded), "near-pairs"), docs, classes, least), "similar")
+    star = rows.where("near and id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    links = check(star)
+    found = durable(components(links), "joined")
+    crowd = durable(crowds(rows), "crowd")
+    links = links.unionByName(durable(crowd_links(crowd, found, docs, classes, least), "crowd-links"))
+    found = durable(components(links), "joined")
+    links = links.unionByName(check(apart(rows, found, crowd)))
+    found = with_roots(durable(components(links), "joined"))
+    linked = classes.join(found.withColumnRenamed("vertex", "id"), "id").select("shingles", "fp", "first", "root")
+    least_of = linked.groupBy("root").agg(F.min("first").alias("least"))
+    of = linked.join(small(least_of, least_of.count(), LINKED_ROWS), "root").select("shingles", "fp", "least")
+    alone = classes.join(found.select(F.col("vertex").alias("id")), "id", "left_anti").select("shingles", "fp", F.col("first").alias("least"))
+    of = durable(of.unionByName(alone), "components")
+    texts = marked.groupBy("doc_id", "text_hash", "shingles", "fp").agg(F.count(F.lit(1)).alias("n"))
+    is_first = F.struct("doc_id", "text_hash") == F.col("least")
+    return texts.join(of, ["shingles", "fp"]).select("doc_id", "text_hash", "n", F.col("least.doc_id").alias("component_id"), is_first.alias("first"))
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """docs with text_hash, which tells the texts of one id apart; a null text is empty."""
+    return docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -98,3 +98,22 @@ def test_bits_beyond_the_golay_keys_are_refused(spark):
 
     with pytest.raises(ValueError):
         simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), bits=3)
+
+
+def test_different_texts_of_one_id_are_judged_each_on_its_own(spark, tmp_path):
+    rnd = random.Random(5)
+    say = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    a, b, c = say(), say(), say()
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "de", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 2), (3, c, "en", "s", 1), (None, a, "en", "s", 1)]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCUMENTS), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text, r.lang, r.n_chars) for r in out) == sorted([(0, a, "en", 1), (1, a, "en", 1), (1, b, "de", 1), (3, c, "en", 1)])
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from fundsieve.llm import common
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
