@@ -259,7 +259,7 @@ def candidates(spark: SparkSession, catalog: Catalog, venues: Sequence[str] = S.
     rows = fund_view(spark, catalog).where(F.col("primary_venue").isin(*venues)).withColumn("gold_policy_exception_flag", F.lit(0))
     if exceptions:
         rows = rows.unionByName(gold_exceptions(spark, catalog, venues).withColumn("gold_policy_exception_flag", F.lit(1)))
-    return rows.withColumns({"ongoing_charges": F.col("current_cost"), "issuer_normalized": F.coalesce("issuer", F.lit("")), "currency": X.null_if_blank(F.col("currency"))}).withColumnsRenamed({"p_fund_size_value": "fund_size_value", "p_fund_size_currency": "fund_size_currency"})
+    return rows.withColumns({"ongoing_charges": F.col("current_cost"), "issuer_normalized": F.coalesce("issuer", F.lit("")), "currency": X.null_if_blank(F.col("currency"))}).withColumnsRenamed({"p_fund_size_value": "fund_size_value", "p_fund_size_currency": "fund_size_currency"}).persist()  # read by every attempt
 
 
 def gold_exceptions(spark: SparkSession, catalog: Catalog, venues: Sequence[str] = S.VENUES) -> DataFrame:
@@ -269,7 +269,7 @@ def gold_exceptions(spark: SparkSession, catalog: Catalog, venues: Sequence[str]
     rows = fund_view(spark, catalog, False).where((F.coalesce("universe_mvp_flag", F.lit(0)) == 0) & F.col("primary_venue").isin(*venues))
     up = F.upper("instrument_name")
     plain = (F.coalesce("leverage_flag", F.lit(0)) == 0) & (F.coalesce("inverse_flag", F.lit(0)) == 0) & ~up.rlike(S.LEVERED)
-    rows = rows.where((up.contains("GOLD") | up.contains("BULLION")) & plain)
+    rows = rows.where((up.contains("GOLD") | up.contains("BULLION")) & plain).persist()
     inputs = rows.select("instrument_id", "isin", "instrument_name", "instrument_type", "benchmark_name", F.col("p_asset_class_hint").alias("asset_class_hint"))
     found = K.classify(inputs, "1970-01-01", ("instrument_id",)).where("asset_class = 'commodity' and commodity_type = 'gold'")
     told = ["asset_class", "geography_scope", "geography_region", "geography_country", "equity_size", "equity_style", "factor", "sector", "theme", "bond_type", "duration_bucket", "commodity_type", "cash_proxy_flag", "gold_flag", "cash_flag", "govt_bond_flag"]
@@ -291,7 +291,7 @@ def smoke_check(spark: SparkSession, catalog: Catalog, custom: Sequence[tuple[st
     facets = filter_options(spark, catalog)["facets"]
     funds = candidates(spark, catalog)
     run = S.Run(funds)
-    picked = run.picked().select("bucket", "isin")
+    picked = run.picked().select("bucket", "isin").persist()
     mixed = S.strategy_rows(S.custom_mix(spark, list(custom), whole=True), picked)
     one = lambda name, df: df.agg((F.count(F.lit(1)) > 0).alias("ok")).select(F.lit(name).alias("check"), "ok")
     positive = lambda name, df, c: df.select(F.lit(name).alias("check"), (F.col(c) > 0).alias("ok"))

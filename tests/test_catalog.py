@@ -53,7 +53,8 @@ def test_detail_and_options(spark, catalog):
     assert facets["asset_class", "equity"] == 2 and facets["issuer", "House 1"] == 1 and ("distribution_policy", "Unknown") not in facets
     assert tuple(options["fees"].first()) == (0.1, 0.4) and options["blank_sector"].first().n == 4
     shown = {r.isin: r for r in K.explorer(K.fund_view(spark, catalog)).collect()}
-    assert shown["IE001"].fee == "0.20%" and shown["IE001"].bond_type == "N.A." and shown["DE004"].hedged == "Unknown"
+    assert shown["IE001"].ter == "0.20%" and shown["IE001"].bond_type == "N.A." and shown["DE004"].bond_type == "Corporate"
+    assert shown["LU003"].size == "Unknown" and shown["LU003"].duration == "Long" and len(shown["LU003"]) == 17
 
 
 def test_profile_precedence(spark, catalog):
@@ -77,7 +78,8 @@ def test_universe_issuers_and_aliases(spark, catalog):
 def test_completeness_and_bundle(spark, catalog):
     report = K.completeness(spark, catalog)
     gaps = {r.isin: r.missing_fields for r in report["gaps"].collect()}
-    assert gaps["IE001"] == "benchmark_name,p_fund_size_value,replication_method,domicile_country,equity_size,equity_style,sector"
+    assert gaps["IE001"] == "benchmark_name,fund_size,domicile_country,replication_method,equity_size,equity_style,sector"
+    assert {r.isin: r.latest_metadata_source for r in report["gaps"].collect()}["DE004"] is not None
     assert tuple(report["universe"].first()) == (4, 4, 4)
     assert {r.field: r.known for r in report["taxonomy"].collect()}["bond_type"] == 2
     bundle = K.export_bundle(spark, catalog)
@@ -85,4 +87,4 @@ def test_completeness_and_bundle(spark, catalog):
     assert counts == {"instrument": 5, "listing": 6, "product_profile": 2, "instrument_taxonomy": 5, "cost_snapshot": 2, "issuer": 3}
     ask = lambda c: K.list_funds(spark, c, q="alias")[0].select("isin", "ongoing_charges")
     assert V.parity(ask(catalog), ask(bundle)).count() == 0
-    assert all(K.manifest(spark, bundle).first().checks.values())
+    assert {k for k, ok in ((r.check, r.ok) for r in K.smoke_check(spark, bundle).collect()) if ok} >= {"list", "facets", "total"}
