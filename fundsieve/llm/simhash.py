@@ -294,11 +294,22 @@ def crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, classes: Da
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([m.tobytes() for m in made], pa.binary())], ["id", "crowd", "root", "fp", "hashes"])
 
     def compare(batches):
+        """Rows sorted by block pair; a pair is compared when the next one begins."""
+        held, last = [], None
         for whole in batches:
-            for at in range(whole.num_rows):
-                left, right = (whole.column(i).slice(at, 1).to_pylist()[0] for i in (0, 1))
-                out = block_links(left, right, least)
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+            for r in zip(*[whole.column(i).to_pylist() for i in range(8)]):
+                if r[:3] != last and held:
+                    yield linked_rows(held)
+                    held = []
+                held.append(r)
+                last = r[:3]
+        if held:
+            yield linked_rows(held)
+
+    def linked_rows(rows):
+        left, right = ([dict(zip(("id", "root", "fp", "hashes"), r[4:])) for r in rows if r[3] == at] for at in (rows[0][1], rows[0][2]))
+        out = block_links(left, right, least)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     roots = small(found, found.count(), LINKED_ROWS)
     of = crowd.join(classes.select("id", "fp", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "id")
@@ -307,10 +318,10 @@ def crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, classes: Da
     made = durable(texts.mapInArrow(sets, "id long, crowd long, root long, fp binary, hashes binary"), "sets").dropDuplicates(["id"])
     sizes = made.groupBy("crowd").agg(F.ceil(F.sum(F.length("hashes")) / (4 * BLOCK_WORDS)).cast("long").alias("parts"))
     dealt = made.join(small(sizes, sizes.count()), "crowd").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    packed = durable(dealt.groupBy("crowd", "part").agg(F.collect_list(F.struct("id", "root", "fp", "hashes")).alias("block")), "blocks")
-    a, b = (packed.select("crowd", F.col("part").alias(f"{x}_part"), F.col("block").alias(x)) for x in "ab")
-    pairs = a.join(b, "crowd").where("a_part <= b_part").select("a", "b")
-    return pairs.repartition(F.xxhash64(F.col("a")[0]["id"], F.col("b")[0]["id"])).mapInArrow(compare, "u long, v long").distinct()
+    # a row for each block that a vertex's block meets: (a, b) holds the vertices of parts a and b
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("crowd", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "id", "root", "fp", "hashes")
+    return met.repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b", "id").mapInArrow(compare, "u long, v long").distinct()
 
 
 def block_links(left: list, right: list, least: float) -> list[tuple[int, int]]:
@@ -330,7 +341,7 @@ def block_links(left: list, right: list, least: float) -> list[tuple[int, int]]:
         for j in np.flatnonzero(np.bitwise_count(x[i] ^ y).sum(axis=1) <= ALL_BITS):
             s = right[j]
             m, n = len(xs[i]), len(ys[j])
-            if r["id"] >= s["id"] and left is right or top(r["root"]) == top(s["root"]) or min(m, n) < least * max(m, n):
+            if top(r["root"]) == top(s["root"]) or min(m, n) < least * max(m, n):
                 continue
             common = len(np.intersect1d(xs[i], ys[j], assume_unique=True))
             if common >= least * (m + n - common):
