@@ -247,7 +247,7 @@ def refresh_read_models(spark: SparkSession, catalog: Catalog, asof: str) -> dic
     primary = active_primary(table(spark, catalog, "listing")).select("instrument_id").distinct()
     rows = inst.join(primary, "instrument_id", "left_semi").join(profile, "instrument_id", "left")
     names = [c for c in table(spark, catalog, "instrument_taxonomy").columns if c != "instrument_id"]
-    new = K.classify(rows, asof, ("instrument_id",)).select("instrument_id", *names)
+    new = K.classify(rows, asof, ("instrument_id",)).select("instrument_id", *names).persist()
     return dict(catalog) | {"product_profile": profile, "instrument_taxonomy": M.merge_taxonomy(table(spark, catalog, "instrument_taxonomy"), new, "instrument_id")}
 
 
@@ -271,7 +271,8 @@ def gold_exceptions(spark: SparkSession, catalog: Catalog, venues: Sequence[str]
     plain = (F.coalesce("leverage_flag", F.lit(0)) == 0) & (F.coalesce("inverse_flag", F.lit(0)) == 0) & ~up.rlike(S.LEVERED)
     rows = rows.where((up.contains("GOLD") | up.contains("BULLION")) & plain).persist()
     inputs = rows.select("instrument_id", "isin", "instrument_name", "instrument_type", "benchmark_name", F.col("p_asset_class_hint").alias("asset_class_hint"))
-    found = K.classify(inputs, "1970-01-01", ("instrument_id",)).where("asset_class = 'commodity' and commodity_type = 'gold'")
+    # persisted, as a filter that moved below the cascades would copy them for each column it reads
+    found = K.classify(inputs, "1970-01-01", ("instrument_id",)).persist().where("asset_class = 'commodity' and commodity_type = 'gold'")
     told = ["asset_class", "geography_scope", "geography_region", "geography_country", "equity_size", "equity_style", "factor", "sector", "theme", "bond_type", "duration_bucket", "commodity_type", "cash_proxy_flag", "gold_flag", "cash_flag", "govt_bond_flag"]
     return rows.join(found.select("instrument_id", *[F.col(c).alias(f"_{c}") for c in told]), "instrument_id").withColumns({c: F.col(f"_{c}") for c in told}).drop(*[f"_{c}" for c in told])
 

@@ -87,4 +87,3 @@ def test_completeness_and_bundle(spark, catalog):
     assert counts == {"instrument": 5, "listing": 6, "product_profile": 2, "instrument_taxonomy": 5, "cost_snapshot": 2, "issuer": 3}
     ask = lambda c: K.list_funds(spark, c, q="alias")[0].select("isin", "ongoing_charges")
     assert V.parity(ask(catalog), ask(bundle)).count() == 0
-    assert {k for k, ok in ((r.check, r.ok) for r in K.smoke_check(spark, bundle).collect()) if ok} >= {"list", "facets", "total"}
