@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, extract, licenses, quality, reference_sql, secrets, simhash, suffix_dedup
+from . import alignment, bpe, decontaminate, embedding_dedup, extract, licenses, quality, reference_sql, secrets, simhash, suffix_dedup
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups between the tokens of two tokenizers, of every document."""
+    return alignment.aligned_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = (
     op1_secret_scan,
     op2_benchmark_decontamination,
@@ -96,6 +101,7 @@ QUERIES = (
     op8_simhash_near_dedup,
     op9_bpe_round_trip,
     op10_token_counts,
+    op12_tokenizer_alignment,
 )
 
 
