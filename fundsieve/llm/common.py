@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fundsieve.operators.ranks import durable, shared_dir  # noqa: F401
+
 #: Largest side that is broadcast, in rows; larger sides go through a shuffled join.
 BROADCAST_ROWS = 100_000
 
@@ -16,28 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Where it is unset a temporary folder takes its place, in local mode only: on a cluster other machines would not see it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast only if its counted rows are within the limit."""
     return F.broadcast(df) if rows <= limit else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontaminate, embedding_dedup, extract, licenses, quality, reference_sql, secrets, simhash, suffix_dedup
+from . import alignment, bpe, decontaminate, embedding_dedup, extract, licenses, mixing, quality, reference_sql, resampling, secrets, simhash, suffix_dedup
 from .common import table
 
 
@@ -85,11 +85,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weight takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups between the tokens of two tokenizers, of every document."""
     return alignment.aligned_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of every document towards the benchmark, and the ranks of those that are drawn."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = (
     op1_secret_scan,
     op2_benchmark_decontamination,
@@ -101,7 +113,9 @@ QUERIES = (
     op8_simhash_near_dedup,
     op9_bpe_round_trip,
     op10_token_counts,
+    op11_source_mix,
     op12_tokenizer_alignment,
+    op13_importance_resampling,
 )
 
 
@@ -116,4 +130,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_repeated_bytes": reference_sql.REPEATED_BYTES,
         "op5_license_scan": licenses.sql(),
         "op6_embedding_near_dedup": reference_sql.EMBEDDING_LINKS,
+        "op11_source_mix": mixing.SQL,
+        "op13_importance_resampling": resampling.SQL,
     }
