@@ -73,3 +73,27 @@ def test_profile_hints_come_first(spark):
     a, b = classify.classify(frame, "2026-01-01").orderBy("isin").collect()
     assert (a.asset_class, a.hedged_flag, a.hedged_target, a.equity_size, a.sector) == ("bond", 1, "USD", "large", "technology")
     assert (b.asset_class, b.sector) == ("equity", "technology")
+
+
+def test_numbers_are_rounded_from_their_exact_value(spark):
+    import random
+
+    from fundsieve.functions import text as X
+
+    rnd = random.Random(1)
+    values = [0.945, 0.985, 1.005, 0.125, 0.375, 2.675, -1.005, -0.001, 0.0, 0.5, 1.5, 2.5, 999.5, 1e-20, 0.005, 0.015, 123456789.125, 1e15 + 0.5, 99.995, 0.004999999999999999, None]
+    values += [round(rnd.uniform(0, 100), 3) for _ in range(300)] + [rnd.randint(0, 10**6) / 1000 for _ in range(300)] + [rnd.randint(0, 10**4) / 8 for _ in range(100)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", X.fixed(F.col("x"), 2), X.fixed(F.col("x"), 0), X.show_percent(F.col("x"))).collect()
+    for x, two, none, shown in rows:
+        assert (two, none, shown) == ((None, None, None) if x is None else (f"{x:.2f}", f"{x:.0f}", f"{x:.2f}%")), x
+    amounts = [(1.005e9, "1bn"), (1.015e9, "1.01bn"), (2.5e6, "2.5m"), (1234.5, "1.23k"), (2.5, "2"), (0.0, "0"), (-1e6, "-1m")]
+    got = spark.createDataFrame(amounts, "x double, want string").select("want", X.show_amount(F.col("x"), F.lit("usd"))).collect()
+    assert all(shown == f"USD {want}" for want, shown in got)
+
+
+def test_compliant_names_say_so_in_one_of_seven_ways(spark):
+    from fundsieve.functions import text as X
+
+    said = {"X UCITS": 1, "X U.ETF": 1, "X UC.ETF": 1, "X UE.ACC": 1, "X U.E.DIS": 1, "X UE  EOA": 1, "X UEDLA": 1, "X UC.E.A": 1, "x ucits etf": 1, "UCE.ACC fund": None, "Fund": None, "UEBER": None}
+    rows = spark.createDataFrame([(k,) for k in said], "x string").select("x", X.compliant_by_name(F.col("x"))).collect()
+    assert dict(map(tuple, rows)) == said

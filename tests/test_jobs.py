@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from fundsieve.operators import coverage, extract, latest, screen, serve, state
 from fundsieve.sources import feeds
-from fundsieve.streaming import reconcile as stream
 
 
 def test_merge_is_sticky_and_repeatable(spark):
@@ -165,21 +164,3 @@ def test_reports_round_trip(spark, tmp_path):
     feeds.write_json_report(rows, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 2
     assert feeds.table_or_empty(spark, "no_such_table", rows.schema).count() == 0
-
-
-def test_runs_appear_vanish_and_return(spark, tmp_path):
-    def run(n, source, ids):
-        rows = [(f"r{n}", source, f"2026-01-0{n}", i, "XLON", "T") for i in ids] or [(f"r{n}", source, f"2026-01-0{n}", None, None, None)]
-        spark.createDataFrame(rows, stream.OBSERVATIONS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-
-    def go():
-        source = spark.readStream.schema(stream.OBSERVATIONS).parquet(f"{tmp_path}/in")
-        stream.reconcile_stream(source, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-
-    for n, source, ids in ((1, "a", ["I1"]), (2, "a", []), (3, "b", ["I2"]), (4, "a", ["I1"])):
-        run(n, source, ids)
-        go()
-    events = spark.read.parquet(f"{tmp_path}/out/events").orderBy("asof_date", "entity_type")
-    got = [(r.asof_date, r.entity_type, r.event_type) for r in events.collect()]
-    both = lambda day, kind: [(day, "instrument", kind), (day, "listing", kind)]
-    assert got == both("2026-01-01", "inserted") + both("2026-01-02", "deactivated") + both("2026-01-03", "inserted") + both("2026-01-04", "reactivated")
