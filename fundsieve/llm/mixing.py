@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from fundsieve.operators.ranks import ranked
 
-from .common import durable, small
+from .common import durable, settled, small
 
 #: Weights of the sources by code point, repeating; times that a source may be taken; seed of offsets and blocks.
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, 2024
@@ -51,7 +51,7 @@ def marked(docs: DataFrame, key: str, source: str, text: str, seed: int) -> Data
     """docs with size, _source (never null, in order), _class (of sizes, in order) and _hash."""
     named = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), 1, DIGITS), 16, 10).cast("int")
-    sized = docs.withColumns({"size": size_of(F.col(text).cast("string")), "_source": named, "_hash": drawn})
+    sized = settled(docs, "size", size_of(F.col(text).cast("string"))).withColumns({"_source": named, "_hash": drawn})
     octave = sized.withColumn("_octave", F.length(F.bin("size")))
     sixteenth = F.expr("shiftright(shiftleft(size, 4), _octave - 1)") % 16
     return octave.withColumn("_class", F.when(F.col("size") > 0, F.col("_octave") * 16 + sixteenth).otherwise(0).cast("int")).drop("_octave")
