@@ -34,8 +34,8 @@ from .common import durable
 
 #: Words of a run, buckets, seed of the noise, words that a drawn document has at least, documents drawn of a hundred.
 RUN, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
-#: Samples for the splitters, besides one for each run: they are sorted on the driver.
-SAMPLES = 200_000
+#: Samples a segment for the splitters, besides one for each run: they are sorted on the driver.
+SAMPLES = 64
 #: Rows of a segment, on average; there are at least as many segments as shuffle partitions.
 SEGMENT_ROWS = 1_000_000
 #: Words: what is not ASCII other than letters and digits.
@@ -116,7 +116,7 @@ def ranked_by_sampling(rows: DataFrame, quota: Column, highest: str = "score", t
     segments = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / SEGMENT_ROWS))
     keys = [-F.col(highest), F.col(then).isNull().cast("long"), F.coalesce(F.col(then), F.lit(0)), F.col("row")]
     keys = [k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
-    stride = max(1, n // SAMPLES)
+    stride = max(1, n // (SAMPLES * segments))
     within = F.col("row").bitwiseAND((1 << WITHIN) - 1)
     samples = runs.where(F.col(drawn) & (within % stride == stride // 2)).select(*keys).toPandas().to_numpy(np.int64).reshape(-1, 4).T
     samples = samples[:, np.lexsort(samples[::-1])]
