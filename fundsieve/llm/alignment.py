@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import durable
+from .common import durable, in_slices, tidy
 
 #: Bytes of text of one batch of documents; chunks of one lane.
 BATCH_BYTES, LANE = 4_000_000, 256
@@ -245,19 +245,6 @@ def load(a_path: str, b_path: str) -> Known:
     return known
 
 
-def in_batches(batch: pa.RecordBatch):
-    """Slices of about BATCH_BYTES of text (column 1), one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).tolist()
-    start = held = 0
-    for k, size in enumerate(sizes):
-        if held and held + size > BATCH_BYTES:
-            yield batch.slice(start, k - start)
-            start, held = k, 0
-        held += size
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups, pairs, times: a row for each row of docs.
 
@@ -268,13 +255,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     def run(batches):
         known = load(a_path, b_path)
         for batch in batches:
-            for part in in_batches(batch):
+            for part in in_slices(batch, 1, BATCH_BYTES):
                 found = aligned_batch(part.column(1).to_pylist(), known)
                 known.forget()
                 yield pa.RecordBatch.from_arrays([part.column(0), *found], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
+    return rows.mapInArrow(tidy(run, lambda: load(a_path, b_path).clear()), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<long>")
 
 
 def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
@@ -287,7 +274,7 @@ def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
             sums = np.bincount(place, weights=times, minlength=len(distinct)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.int64()), pa.array(sums)], ["pair", "n"])
 
-    counts = durable(aligned.select("pairs", "times").mapInArrow(partial, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    counts = durable(aligned.select("pairs", "times").mapInArrow(tidy(partial), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     of = (F.col("pair") % b_size).alias("b")
     most = F.broadcast(counts.groupBy(of).agg(F.max("n").alias("most")))  # a row for each id of B's vocabulary at most
     return counts.withColumn("b", of).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -321,7 +308,7 @@ def link_counts(aligned: DataFrame, b_size: int, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *map(pa.array, sums), *left], [*rest, "n_best", "count_sum", "pairs", "times"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in aligned.select(*rest).schema)
-    found = durable(aligned.select(*rest, "pairs", "times").mapInArrow(look_up, f"{kept}, n_best long, count_sum long, pairs array<long>, times array<long>"), "links")
+    found = durable(aligned.select(*rest, "pairs", "times").mapInArrow(tidy(look_up), f"{kept}, n_best long, count_sum long, pairs array<long>, times array<long>"), "links")
     seldom = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", "x.pairs", "x.times")
     met = seldom.join(counts.where(~often), F.col("pairs") == F.col("pair"))
     sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))

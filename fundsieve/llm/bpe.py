@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Entries of a task's memo of encoded words; it starts anew when full, so memory stays bounded.
 MEMO = 200_000
 #: Rows of one output batch; ids and decoded text are larger than the text itself.
@@ -108,6 +110,11 @@ class WordBpe:
                     heapq.heappush(queue, (found[0], h, found[1]))
         return tuple(i for i in ids if i >= 0)
 
+    def forget(self) -> None:
+        """What has been remembered of texts goes."""
+        self.words.clear()
+        self.packed.clear()
+
     def single_tokens(self) -> frozenset[str]:
         """The pre-tokens that encode alone as one token: vocabulary strings whose own encoding is that string.
 
@@ -189,7 +196,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), bpe.decode(ids)], ["doc_id", "ids", "decoded"])
 
-    return _columns(docs, key, text).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return _columns(docs, key, text).mapInArrow(tidy(run, lambda: load(path).forget()), "doc_id long, ids binary, decoded string")
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -221,4 +228,4 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = _columns(docs, key, text).withColumn("n_bytes", F.coalesce(F.octet_length("text").cast("long"), F.lit(0)))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(tidy(run, lambda: load(path).forget()), "doc_id long, n_bytes long, n_tokens long")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,10 @@ from fundsieve.operators.ranks import durable, shared_dir  # noqa: F401
 BROADCAST_ROWS = 100_000
 
 
+#: Bytes of text that a task works on at a time.
+SLICE = 4_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,3 +42,33 @@ def settled(df: DataFrame, name: str, value) -> DataFrame:
     """
     kept = [F.col(c) for c in df.columns if c != name]
     return df.select(*kept, F.explode_outer(F.array(value)).alias(name))
+
+
+def in_slices(batch: pa.RecordBatch, text: int, limit: int = SLICE):
+    """Slices of an Arrow batch of about `limit` bytes in the column of texts, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
+def tidy(run, forget=lambda: None):
+    """A function for mapInArrow after whose tasks the worker keeps no memory: workers live on from stage to stage."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import durable, small, tidy
 
 TRAIN_ROWS, KEEP = 8_000, 0.5
 FEATURES = ("log_words", "upper", "digits", "symbols", "marks_at_ends", "word_length", "distinct", "line_repeats", "short_words", "bars", "non_ascii")
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "x"])
 
     joined = docs.join(small(drawn, drawn.count()), "doc_id").select(F.xxhash64("doc_id", "text", "y").alias("h"), "y", "text")
-    made = joined.mapInArrow(run, "h long, y int, x array<double>").groupBy("h", "y").agg(F.min("x").alias("x"))
+    made = joined.mapInArrow(tidy(run), "h long, y int, x array<double>").groupBy("h", "y").agg(F.min("x").alias("x"))
     got = made.orderBy("h", "y").limit(rows).collect()
     y = np.array([r["y"] for r in got], float)
     return fit(np.array([r["x"] for r in got], float), y) if 0 < y.sum() < len(y) else None
@@ -116,7 +116,7 @@ def evidence(docs: DataFrame, model: dict | None) -> DataFrame:
             llr = log_odds(x, model) - model["prior"] if model else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(llr, pa.float64())], ["doc_id", "host", "path", "llr"])
 
-    return docs.select("doc_id", "host", "path", "text").mapInArrow(run, "doc_id long, host string, path string, llr double")
+    return docs.select("doc_id", "host", "path", "text").mapInArrow(tidy(run), "doc_id long, host string, path string, llr double")
 
 
 def sites(scored: DataFrame, prior: float) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import durable, small, tidy
 from .graph import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def syndrome(words: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def golay_keys(fps: DataFrame) -> DataFrame:
                 out.append((signed[row], base[row] | found[row, col], np.ones(len(row), bool)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["fp", "key", "probe"])
 
-    return fps.select("fp").mapInArrow(run, "fp long, key long, probe boolean")
+    return fps.select("fp").mapInArrow(tidy(run), "fp long, key long, probe boolean")
 
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
@@ -246,7 +246,7 @@ def table_keys(classes: DataFrame, plain: int, tables: int) -> DataFrame:
                     key = (np.int64(t) << 44) | codeword(word, code) << plain | more
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(f)], ["key", "id", "f"])
 
-    return classes.select("id", "fp").mapInArrow(run, "key long, id long, f long")
+    return classes.select("id", "fp").mapInArrow(tidy(run), "key long, id long, f long")
 
 
 def near(x: Column, y: Column) -> Column:
@@ -315,13 +315,13 @@ def crowd_links(crowd: DataFrame, found: DataFrame, docs: DataFrame, classes: Da
     of = crowd.join(classes.select("id", "fp", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "id")
     of = durable(of.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "crowds")
     texts = docs.join(small(of, of.count(), LINKED_ROWS), ["doc_id", "text_hash"]).select("id", "crowd", "root", "fp", "text")
-    made = durable(texts.mapInArrow(sets, "id long, crowd long, root long, fp binary, hashes binary"), "sets").dropDuplicates(["id"])
+    made = durable(texts.mapInArrow(tidy(sets), "id long, crowd long, root long, fp binary, hashes binary"), "sets").dropDuplicates(["id"])
     sizes = made.groupBy("crowd").agg(F.ceil(F.sum(F.length("hashes")) / (4 * BLOCK_WORDS)).cast("long").alias("parts"))
     dealt = made.join(small(sizes, sizes.count()), "crowd").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
     # a row for each block that a vertex's block meets: (a, b) holds the vertices of parts a and b
     met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("crowd", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"), "part", "id", "root", "fp", "hashes")
-    return met.repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b", "id").mapInArrow(compare, "u long, v long").distinct()
+    return met.repartition("crowd", "a", "b").sortWithinPartitions("crowd", "a", "b", "id").mapInArrow(tidy(compare), "u long, v long").distinct()
 
 
 def block_links(left: list, right: list, least: float) -> list[tuple[int, int]]:
@@ -375,7 +375,7 @@ def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(kept))
 
     of = lambda name: classes.select(F.col("id").alias(name), F.col("fp").alias(f"{name}_fp"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_fp", "v_fp").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_fp", "v_fp").mapInArrow(tidy(run), "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -395,7 +395,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: float
     texts = docs.join(small(asked, asked.count(), LINKED_ROWS), ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
     texts = durable(texts, "texts")
     of = lambda name: texts.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text").mapInArrow(tidy(run), "u long, v long")
 
 
 def similar(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -413,7 +413,7 @@ def similar(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "shingles", "fp"])
 
     docs = with_text_hash(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).where("doc_id is not null")
-    marked = durable(docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, shingles binary, fp binary"), "wide")
+    marked = durable(docs.select("doc_id", "text_hash", "text").mapInArrow(tidy(run), "doc_id long, text_hash long, shingles binary, fp binary"), "wide")
     grouped = marked.groupBy("shingles", "fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     classes = durable(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     worded = classes.where(F.length("shingles") > 0).select("id", "fp")
