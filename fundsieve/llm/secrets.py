@@ -1,7 +1,7 @@
 r"""Secret scans through a trigram inverted index (operator 1).
 
 From each rule's regular expression a Boolean query over trigrams is derived: a disjunction of conjunctions, one of
-which every match satisfies. Documents are indexed block by block (an Arrow batch is a block, so a block's postings
+which every match satisfies. Documents are indexed block by block (4 MB of texts are a block, so a block's postings
 lie in one task and nothing is shuffled): postings map a trigram to the sorted row numbers that hold it, and only
 trigrams that some query names are posted. Intersecting and uniting postings gives each rule's candidate rows, and
 the regular expression is run on those only. A rule without a mandatory trigram scans every row.
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices, tidy
+
 try:
     from re import _constants as C
     from re import _parser as parser
@@ -46,7 +48,7 @@ BETWEEN = r"(?:\\[nrt]|[^A-Za-z0-9])"
 #: that follow, the last of which may be short, and a short one only if it starts the next line.
 PRIVATE_KEY = (
     "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|(?:\s+(?:Proc-Type|DEK-Info):[^\n]*)*(?:{BETWEEN}{{1,64}}[A-Za-z0-9+/]{{20,}}={{0,2}})+(?:(?:\\[nrt]|[^A-Za-z0-9\n])*\n?(?:\\[nrt]|[^A-Za-z0-9\n])*[A-Za-z0-9+/]+={{0,2}})?"
+    rf"|(?:[^\S\n]*\n\s*(?:Proc-Type|DEK-Info):[^\n]*)*(?:{BETWEEN}{{1,64}}[A-Za-z0-9+/]{{20,}}={{0,2}})+(?:(?:\\[nrt]|[^A-Za-z0-9\n])*\n?(?:\\[nrt]|[^A-Za-z0-9\n])*[A-Za-z0-9+/]+={{0,2}})?"
     r"|[\x20\t\r]*(?:\n|\\n)[\x20\t]*[A-Za-z0-9+/]+={0,2})?"
 )
 #: Public formats of further credentials.
@@ -58,6 +60,35 @@ MORE_RULES = (
     ("bearer", either_case("bearer") + r"\x20+([A-Za-z0-9._~+/=-]+)", 20, 1),
 )
 RULES = BASE_RULES + MORE_RULES
+#: The runs of a jwt with the dots between them.
+DOTTED = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*")
+
+
+def dotted_spans(text: str) -> list[tuple[int, int]]:
+    """The matches of the jwt rule, in one pass: a run that the expression gives up at would be read again from each eyJ."""
+    out = []
+    for m in DOTTED.finditer(text):
+        runs, start, k = m[0].split("."), m.start(), 0
+        while k + 2 < len(runs):
+            at = runs[k].find("eyJ")
+            end = start + sum(map(len, runs[k : k + 3])) + 2
+            if 0 <= at < len(runs[k]) - 3:
+                out.append((start + at, end))
+                start, k = end + 1, k + 3
+            else:
+                start, k = start + len(runs[k]) + 1, k + 1
+    return out
+
+
+def finder(rule):
+    """A function from a text to the spans of a rule."""
+    kind, expression, least, group = rule
+    if kind == "jwt" and rule in MORE_RULES:
+        return lambda text: [x for x in dotted_spans(text) if x[1] - x[0] >= least]
+    found = re.compile(quick(expression, least, group)).finditer
+    return lambda text: [m.span() for m in found(text) if m.end(group) - m.start(group) >= least]
+
+
 #: Alternatives that one query keeps apart; more of them are widened to "any text", never dropped.
 BRANCHES = 64
 
@@ -221,17 +252,17 @@ class Scanner:
 
     def spans(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
         """(start, end, number of the rule) by start, then by the rules' order."""
-        finders = [re.compile(quick(x, least, group)).finditer for _, x, least, group in self.rules]
+        finders = list(map(finder, self.rules))
         whole = column.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset :][: len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
         data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         index = Postings(data, offsets - offsets[0], self.wanted)
         strings = column.to_pylist()
         found: list[list[tuple[int, int, int]]] = [[] for _ in strings]
-        for k, (rule, query) in enumerate(zip(self.rules, self.queries)):
+        for k, query in enumerate(self.queries):
             for row in index.find(query).tolist():
                 if strings[row]:
-                    found[row] += [(m.start(), m.end(), k) for m in finders[k](strings[row]) if m.end(rule[3]) - m.start(rule[3]) >= rule[2]]
+                    found[row] += [(*span, k) for span in finders[k](strings[row])]
         return [sorted(x, key=lambda s: (s[0], s[2], s[1])) for x in found]
 
 
@@ -241,12 +272,12 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text")
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in in_slices(whole, 1)):
             out = [[{"kind": scanner.rules[k][0], "start": s, "end": e} for s, e, k in x] for x in scanner.spans(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(kind))], ["doc_id", "found"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, rules=RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -254,11 +285,11 @@ def redact(docs: DataFrame, rules=RULES, text: str = "text", mark: str = "[secre
     scanner, names, at = Scanner(rules), docs.columns, docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in in_slices(whole, at)):
             strings = [masked(t, s, mark) if s else t for t, s in zip(b.column(at).to_pylist(), scanner.spans(b.column(at)))]
             yield pa.RecordBatch.from_arrays([pa.array(strings, b.column(at).type) if i == at else b.column(i) for i in range(len(names))], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def masked(text: str, spans, mark: str) -> str:
