@@ -158,23 +158,6 @@ def verify_pages(cands: DataFrame, pages: DataFrame, url: str, id_: str, html: s
     return both.select(*cands.columns, F.coalesce(canonical, F.col(url)).alias("resolved_url"))
 
 
-#: How prose names a benchmark, a domicile and an asset class.
-BENCHMARKS = (r"track(?:s|ing)? the (?:performance of )?(?:the )?([A-Z][\w&.\- ]{4,80}?)(?: \(|,|\.| index)", r"benchmark(?: index)?(?: is|:)? (?:the )?([A-Z][\w&.\- ]{4,80}?)(?: \(|,|\.|$)")
-INDEX_BRANDS = r"(?i)\b(?:MSCI|FTSE|S&P|STOXX|Bloomberg|iBoxx|Solactive|Nasdaq|Russell|DAX|Nikkei)\b"
-DOMICILED = r"(?i)(?:domiciled|established|incorporated|registered) in (Ireland|Luxembourg|Germany|France|United Kingdom|Switzerland|Netherlands|Jersey)"
-ASSET_WORDS = (("bond", r"(?i)\b(?:bonds?|fixed income|treasury|gilts?)\b"), ("commodity", r"(?i)\b(?:commodit(?:y|ies)|gold|silver|bullion)\b"), ("cash", r"(?i)\bmoney market\b"), ("multi", r"(?i)\bmulti[- ]asset\b"), ("equity", r"(?i)\b(?:equit(?:y|ies)|shares|stocks?)\b"))
-
-
-def prose_metadata(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """benchmark, domicile, asset class, replication and hedge of descriptions; the class from the benchmark, then the text's beginning."""
-    named = F.coalesce(*[T.null_if_blank(F.regexp_extract(text, e, 1)) for e in BENCHMARKS])
-    rows = docs.withColumn("_b", F.when(named.rlike(INDEX_BRANDS), named))
-    within = lambda c: T.first_match([(c.rlike(e), n) for n, e in ASSET_WORDS])
-    kind = F.coalesce(within(F.col("_b")), within(F.substring(text, 1, 800)), within(F.substring(text, 1, 3000)))
-    way = T.first_match([(F.col(text).rlike("(?i)synthetic|swap"), "synthetic"), (F.col(text).rlike("(?i)sampling|optimi[sz]ed"), "sampling"), (F.col(text).rlike("(?i)physical|full replication"), "physical")])
-    return rows.select(key, F.col("_b").alias("benchmark_name"), T.null_if_blank(F.regexp_extract(text, DOMICILED, 1)).alias("domicile_country"), kind.alias("asset_class_hint"), way.alias("replication_method"), T.hedge_text(F.col(text)).alias("hedged_flag"))
-
-
 def page_listings(pages: DataFrame, key: str, html: str, venues: Mapping[str, str]) -> DataFrame:
     """key, venue_mic, ticker, trading_currency: distinct listings in markup cells of exchange, ticker and currency."""
     cell = r"<td[^>]*>\s*([^<]*?)\s*</td>\s*"

@@ -1,4 +1,4 @@
-"""Tables written to the shared folder, and exact ranks without a task that sees all rows."""
+"""Tables written to the shared folder, columns computed once, and exact ranks without a task that sees all rows."""
 
 from __future__ import annotations
 
@@ -35,6 +35,18 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are computed once a row, one after the other.
+
+    The optimizer moves filters below projections and joins projections into one, and copies what they use; inside a
+    lambda such a copy would run once an element. It does not look through a generator, so each value comes out of one
+    that makes one row of each row.
+    """
+    for name, value in values.items():
+        df = df.select(*[F.col(c) for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+    return df
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its place from 1 by an order without ties.
 

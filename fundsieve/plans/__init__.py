@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import catalogue, funds, more, streams  # noqa: F401
+from . import catalogue, funds, more, sheets, streams  # noqa: F401

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fundsieve.operators import coverage, extract, latest, screen, serve, state
+from fundsieve.operators import coverage, extract, latest, readers, screen, serve, state
 from fundsieve.sources import feeds
 
 
@@ -142,10 +142,10 @@ def test_extraction(spark):
 
 
 def test_prose_and_markup(spark):
-    docs = spark.createDataFrame([(1, "The fund tracks the MSCI World Index, full replication. It is domiciled in Ireland and holds shares. EUR hedged."), (2, "tracks the weather, no more"), (3, None)], "doc_id long, text string")
-    a, b, c = extract.prose_metadata(docs, "doc_id", "text").orderBy("doc_id").collect()
-    assert tuple(a)[1:] == ("MSCI World Index", "Ireland", "equity", "physical", 1)
-    assert tuple(b)[1:] == tuple(c)[1:] == (None, None, None, None, None)
+    docs = spark.createDataFrame([(1, "The fund seeks to track the performance of the MSCI World Index, by holding all securities. It is authorised in Ireland. EUR hedged."), (2, "tracks the weather, no more"), (3, None)], "doc_id long, text string")
+    a, b, c = readers.prose_metadata(docs, "doc_id", "text").orderBy("doc_id").collect()
+    assert (a.benchmark_name, a.domicile_country, a.asset_class_hint, a.replication_method, a.hedged_flag) == ("MSCI World Index", "Ireland", "Equity", "physical", 1)
+    assert set(tuple(b)[1:] + tuple(c)[1:]) == {None}
     page = spark.createDataFrame([(1, "<tr><td>London</td><td>AB C</td><td>USD</td></tr><tr><td>London</td><td>ABC</td> <td>USD</td></tr><tr><td>Moon</td><td>X</td><td>EUR</td></tr>")], "page_id long, html string")
     assert [tuple(r) for r in extract.page_listings(page, "page_id", "html", {"london": "XLON"}).collect()] == [(1, "XLON", "ABC", "USD")]
 
