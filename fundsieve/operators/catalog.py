@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..schemas import TABLES
+from ..sources.feeds import write_counted
 from . import coverage as C
 from . import latest as L
 from . import screen as S
@@ -162,6 +163,22 @@ def unknown_issuers(spark: SparkSession, catalog: Catalog, names: Sequence[tuple
     return rows.select("instrument_id", F.coalesce("d", "u", "n").alias("issuer_name"), X.first_match([(F.col("d").isNotNull(), "document_host"), (F.col("u").isNotNull(), "url_map"), (F.col("n").isNotNull(), "name_rule")]).alias("issuer_source")).where("issuer_name is not null")
 
 
+def normalize_unknown_issuers(spark: SparkSession, catalog: Catalog, path: str, names: Sequence[tuple[str, str]], hosts: Sequence[tuple[str, Sequence[str]]]) -> dict[str, int]:
+    """Write the issuers found for instruments without one under `path`, and return what the write did.
+
+    candidates: instruments without an issuer; updated: those that get one; document_host, url_map, name_rule: by what.
+    The counts are observed in the write itself, so they are those of what was written and cost no second job.
+    """
+    rows = table(spark, catalog, "instrument").where("issuer_id is null").select("instrument_id")
+    found = rows.join(unknown_issuers(spark, catalog, names, hosts), "instrument_id", "left")
+    by = {s: F.count_if(F.col("issuer_source") == s) for s in ISSUER_SOURCES}
+    return write_counted(found, path, where="issuer_name is not null", candidates=F.count(F.lit(1)), updated=F.count("issuer_name"), **by)
+
+
+#: What an issuer may be told by, in order.
+ISSUER_SOURCES = ("document_host", "url_map", "name_rule")
+
+
 def fill_listing_aliases(listing: DataFrame, rows: DataFrame) -> DataFrame:
     """Alias listings from a secondary source: new ones are not primary, known ones are filled and made active."""
     keys = ["instrument_id", "venue_mic", "ticker"]

@@ -11,6 +11,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 Rule = Callable[[Column, Column], Column]
 
 
@@ -229,17 +231,13 @@ def impute(rows: DataFrame, value: str, modes: DataFrame, keys: Sequence[str], m
 def assign_ids(names: DataFrame, name: str, id_: str, existing: DataFrame) -> DataFrame:
     """New names with ids above the existing ones, in the names' order; existing names keep theirs.
 
-    Names are numbered within their first letters and after the sum of those before, so no task numbers all of them
-    and the number of a name does not depend on how rows are spread.
+    Ids are exact ranks of the names dealt out by ranges, so no task numbers all of them, however many begin alike.
     """
     known = existing.select(name, id_)
-    top = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))
-    fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known, name, "left_anti").withColumn("_part", F.substring(name, 1, 4))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = fresh.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", before).drop("_n")  # a row for the first letters
-    numbered = fresh.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(name)))
-    out = numbered.join(starts, "_part").withColumn("_k1", F.lit(1)).join(F.broadcast(top.withColumn("_k1", F.lit(1))), "_k1")
-    return known.unionByName(out.select(name, (F.col("_top") + F.col("_start") + F.col("_k")).cast("long").alias(id_)))
+    top = known.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))  # one row
+    fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known, name, "left_anti")
+    out = ranked(fresh, name, name="_rank").withColumn("_one", F.lit(1)).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
+    return known.unionByName(out.select(name, (F.col("_top") + F.col("_rank")).cast("long").alias(id_)))
 
 
 def alias_targets(rows: DataFrame, bucket: Column, id_: str, name: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import catalog as K
 from ..operators import readers as R
+from ..operators.ranks import shared_dir
+from ..sources.feeds import FeedSpec, read_feed
 from .catalogue import query, t
 
 
@@ -132,3 +137,36 @@ def search_terms(spark, sf_dir):
     name = said(F.when(SIZE % 3 == 0, "iShs Core ").when(SIZE % 3 == 1, "ISHRS ").otherwise(""), F.col("p_name"), " & ", F.col("p_brand"), " UCT ETF Acc")
     ticker = F.when(SIZE % 2 == 0, said(" t", SIZE.cast("string"), " "))
     return part(spark, sf_dir).select("p_partkey", F.array_join(R.discovery_terms(said("ie", F.col("p_partkey").cast("string")), ticker, name), "|").alias("terms"))
+
+
+@query(
+    """WITH i AS (SELECT p_partkey, p_partkey % 4 = 2 AS d, p_partkey % 3 = 0 AS u, contains(upper(p_name), 'GREEN') AS n FROM part WHERE p_size % 5 = 0)
+    SELECT unnest(['candidates', 'updated', 'document_host', 'url_map', 'name_rule']) AS what, unnest([count(*), count(*) FILTER (WHERE d OR u OR n), count(*) FILTER (WHERE d), count(*) FILTER (WHERE u AND NOT d), count(*) FILTER (WHERE n AND NOT d AND NOT u)]) AS n FROM i"""
+)
+def issuer_writes(spark, sf_dir):
+    """What writing the issuers of instruments without one did, as observed in the write."""
+    rows = part(spark, sf_dir).withColumn("instrument_id", F.col("p_partkey"))
+    catalog = {
+        "instrument": rows.select("instrument_id", F.col("p_name").alias("instrument_name"), F.when(SIZE % 5 > 0, 1).cast("long").alias("issuer_id")),
+        "document": rows.where("p_partkey % 2 = 0").select("instrument_id", F.col("p_partkey").alias("document_id"), said("https://www.house-", (F.col("p_partkey") % 4).cast("string"), ".com/x.pdf").alias("url")),
+        "instrument_url_map": rows.where("p_partkey % 3 = 0").select("instrument_id", F.lit("http://sub.house-1.com/y").alias("url")),
+    }
+    path = f"{shared_dir(spark)}/issuers-{uuid.uuid4().hex}"
+    counts = K.normalize_unknown_issuers(spark, catalog, path, [("Green House", "GREEN")], [("House One", ["house-1.com"]), ("House Two", ["house-2.com"])])
+    return spark.createDataFrame([(k, v) for k, v in counts.items()], "what string, n long")
+
+
+@query(
+    """SELECT 'P' || p_partkey AS isin, p_name || chr(10) || '"' || p_brand || '"; ' || p_type AS instrument_name, CASE WHEN p_size % 4 > 0 THEN 'T' || p_size END AS ticker, p_type AS venue_mic FROM part"""
+)
+def feed_records(spark, sf_dir):
+    """A landed feed read back: late headers, quoted line ends, separators and quotes, columns by other names."""
+    quoted = lambda c: said('"', F.replace(c, F.lit('"'), F.lit('""')), '"')
+    name = said(F.col("p_name"), '\n"', F.col("p_brand"), '"; ', F.col("p_type"))
+    line = F.concat_ws(";", said("P", F.col("p_partkey").cast("string")), quoted(name), F.when(SIZE % 4 > 0, said("T", SIZE.cast("string"))).otherwise(" "), "p_type")
+    # files of 500 records at most, each with its own header below a title
+    files = part(spark, sf_dir).select(F.floor(F.col("p_partkey") / 500).alias("file"), line.alias("line")).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
+    path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    files.select("file", said("All listings;\n\nISIN Code;Long  Name;Mnemonic;MIC\n", F.col("body")).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    spec = FeedSpec(";", "isin", {"isin": ["ISIN", "ISIN Code"], "instrument_name": ["Name", "Long Name"], "ticker": ["Mnemonic"], "venue_mic": ["MIC Code", "MIC"]})
+    return read_feed(spark, f"{path}/*/*.txt", spec).select("isin", "instrument_name", "ticker", "venue_mic")

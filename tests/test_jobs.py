@@ -164,3 +164,35 @@ def test_reports_round_trip(spark, tmp_path):
     feeds.write_json_report(rows, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 2
     assert feeds.table_or_empty(spark, "no_such_table", rows.schema).count() == 0
+
+
+def test_records_may_span_lines(spark, tmp_path):
+    text = 'report\nISIN;Name;Ticker\nIE1;"two\nlines; and a ""word""";A\r\nIE2;5" disk;"B"\nIE3;"";\n\nIE4;"open\n to the end'
+    (tmp_path / "feed.csv").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    (tmp_path / "none.csv").write_text("nothing\nhere")
+    (tmp_path / "empty.csv").write_text("")
+    spec = feeds.FeedSpec(";", "isin", {"isin": ["ISIN"], "name": ["x", "name"], "ticker": ["Ticker"]})
+    got = [tuple(r)[1:] for r in feeds.read_feed(spark, str(tmp_path), spec).orderBy("line_no").collect()]
+    assert got == [(2, "IE1", 'two\nlines; and a "word"', "A"), (3, "IE2", '5" disk', "B"), (4, "IE3", None, None), (6, "IE4", '"open\n to the end', None)]
+
+
+def test_a_long_line_takes_seconds(spark, tmp_path):
+    import time
+
+    cell = '"' + "a;b\n" * 100_000 + '"'
+    (tmp_path / "feed.csv").write_text("isin;name\nIE1;" + cell + "\nIE2;" + "x;" * 500_000 + "\n")
+    began = time.time()
+    rows = feeds.read_feed(spark, str(tmp_path / "feed.csv"), feeds.FeedSpec(";", "isin", {"isin": ["isin"], "name": ["name"]})).orderBy("line_no").collect()
+    assert [(r.isin, len(r.name)) for r in rows] == [("IE1", 400_000), ("IE2", 1)] and time.time() - began < 30
+
+
+def test_ids_equal_a_plain_sort_when_most_names_begin_alike(spark):
+    names = [f"Fund{i:04}" for i in range(900)] + [chr(65 + i % 26) + str(i) for i in range(100)]
+    got = state.assign_ids(spark.createDataFrame([(n,) for n in reversed(names)], "name string").repartition(7), "name", "id", spark.createDataFrame([("old", 5)], "name string, id long"))
+    assert sorted(map(tuple, got.collect())) == sorted([("old", 5)] + [(n, 6 + k) for k, n in enumerate(sorted(names))])
+
+
+def test_counts_come_with_the_write(spark, tmp_path):
+    rows = spark.range(100).withColumn("x", F.when(F.col("id") % 3 == 0, F.col("id")))
+    got = feeds.write_counted(rows, f"{tmp_path}/out", where="x is not null", n=F.count(F.lit(1)), known=F.count("x"))
+    assert got == {"n": 100, "known": 34} and spark.read.parquet(f"{tmp_path}/out").count() == 34
