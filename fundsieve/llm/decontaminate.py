@@ -83,18 +83,20 @@ def contained(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_key:
     wanted = there.join(small(known, sum(p["items"] for p in parts)), "item_id")
     both = with_shingles(with_shingles(wanted, "text", "s", joined), "item_text", "t", joined)
     common = both.select("doc_id", "item_id", "need", F.col("n").alias("n_item"), F.size(F.array_intersect("t", "s")).alias("n_common"))
-    best = common.where("n_common >= need").groupBy("doc_id", "item_id").agg(F.max("n_common").cast("long").alias("n_common"), F.max("n_item").cast("long").alias("n_item"))
-    return best.withColumn("containment", F.col("n_common") / F.col("n_item"))
+    share = F.col("n_common") / F.col("n_item")
+    of_texts = F.struct(share.alias("containment"), F.col("n_common").cast("long").alias("n_common"), F.col("n_item").cast("long").alias("n_item"))
+    best = common.where("n_common >= need").groupBy("doc_id", "item_id").agg(F.max(of_texts).alias("best"))  # of one text and one item's text
+    return best.select("doc_id", "item_id", "best.n_common", "best.n_item", "best.containment")
 
 
 #: The same pairs in SQL, without sketches.
 SQL = r"""
-WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-i AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
-si AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i),
-n AS (SELECT id, count(*) AS n_item FROM si GROUP BY id),
-c AS (SELECT ds.id AS doc_id, si.id AS item_id, count(*) AS n_common FROM ds JOIN si ON ds.s = si.s GROUP BY ALL)
-SELECT doc_id, item_id, n_common, n_item, n_common::DOUBLE / n_item AS containment
-FROM c JOIN n ON n.id = c.item_id WHERE n_common >= ceil(n_item * 0.8::DOUBLE)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT row_number() OVER () AS r, item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+ds AS (SELECT DISTINCT r, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+si AS (SELECT DISTINCT r, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM i),
+n AS (SELECT r, count(*) AS n_item FROM si GROUP BY r),
+c AS (SELECT ds.r AS dr, ds.id AS doc_id, si.r AS ir, si.id AS item_id, count(*) AS n_common FROM ds JOIN si ON ds.s = si.s GROUP BY ALL),
+p AS (SELECT doc_id, item_id, n_common, n_item, n_common::DOUBLE / n_item AS containment FROM c JOIN n ON n.r = c.ir WHERE n_common >= ceil(n_item * 0.8::DOUBLE))
+SELECT doc_id, item_id, n_common, n_item, containment FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_common DESC, n_item DESC) = 1
 """

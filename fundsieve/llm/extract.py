@@ -45,6 +45,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LANDMARKS = frozenset("article aside footer form header main nav section".split())
 RAW = frozenset("script style noscript template svg iframe textarea".split())
 TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|[!?/])")
+COMMENT_END, ABRUPT = re.compile("--!?>"), re.compile("-?>")
 STOP = re.compile(r""">|=\s*["']""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -77,17 +78,37 @@ class Block:
         self.node, self.text, self.linked = node, text, linked
 
 
+def content_end(html: str, name: str, at: int) -> int:
+    """Where the content of an element that begins at `at` and its closing tag end; -1 if it is not closed.
+
+    Elements of the same name lie within templates and svg, in other raw content there are no elements.
+    """
+    depth, nests = 1, name in ("template", "svg")
+    for m in re.compile(f"<(/?){name}(?=[\\s/>])", re.I).finditer(html, at):
+        end = html.find(">", m.end())
+        if end < 0:
+            return -1
+        if m[1]:
+            depth -= 1
+        elif nests and not html.endswith("/", m.end(), end):
+            depth += 1
+        if not depth:
+            return end + 1
+    return -1
+
+
 def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
     """start, end, slash, name and attributes of the tags in order; comments, declarations and raw content have no name.
 
     The page is read once: what was not found from some place on is not looked for again.
     """
-    at, size, quotes = 0, len(html), True
+    at, size, quotes, open_svg = 0, len(html), True, False
     while (m := TAG.search(html, at)) is not None:
         start, name = m.start(), (m[2] or "").lower()
         if m[0] == "<!--":
-            end = html.find("-->", m.end())
-            at = size if end < 0 else end + 3
+            short = ABRUPT.match(html, m.end())
+            end = short or COMMENT_END.search(html, m.end())
+            at = end.end() if end else size
             yield start, at, "", "", ""
             continue
         end, seen = -1, m.end()
@@ -110,9 +131,11 @@ def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
             return
         at = end + 1
         if name in RAW and not m[1]:
-            close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
-            last = html.find(">", close.end()) if close else -1
-            at = size if last < 0 else last + 1
+            # an icon that closes itself, or that is never closed, holds nothing
+            if name != "svg" or not (open_svg or html.endswith("/", m.end(), end)):
+                last = content_end(html, name, at)
+                open_svg = open_svg or name == "svg" and last < 0
+                at = last if last >= 0 else at if name == "svg" else size
             name = ""
         yield start, at, m[1] or "", name, html[m.end() : end]
 

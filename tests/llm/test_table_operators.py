@@ -49,6 +49,21 @@ def test_containment_equals_brute_force(spark):
     assert decontaminate.contained(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_of_an_item_with_several_texts_the_best_counts(spark):
+    ws = [f"w{i}" for i in range(40)]
+    whole, part = " ".join(ws[:14]), " ".join(ws[10:24]) + " x y"
+    items = spark.createDataFrame([(7, whole), (7, part), (7, None)], "item_id long, text string")
+    rows = decontaminate.contained(docs(spark, [" ".join(ws), " ".join(ws[10:]), whole], [1, 2, 2]), items).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_common, r.n_item, r.containment) for r in rows] == [(1, 10, 10, 1.0), (2, 10, 10, 1.0)]
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(1, " ".join(ws)), (2, " ".join(ws[10:])), (2, whole)])
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [(7, whole), (7, part), (7, None)])
+    assert con.execute(f"{decontaminate.SQL} ORDER BY 1").fetchall() == [tuple(r) for r in rows]
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for d, t in sorted(rows):
@@ -316,6 +331,10 @@ def test_extraction_equals_the_known_text_of_made_up_pages():
         ("<p>one<!-- <p>no</p> --> two<!-- cut <p>off", ["one two"]),
         ("<p>one<script>x='</p>'</SCRIPT >two<style>p{}", ["onetwo"]),
         ("</div></p><div>one</b></div>two</nav> three<p", ["one", "two", "three"]),
+        ("<p>a b c</p><svg class=i/><p>after svg</p>", ["a b c", "after svg"]),
+        ("<p>a</p><svg><svg/><path d='x'/></svg><p>b</p><svg><p>c</p>", ["a", "b", "c"]),
+        ("x<template>1<template>2</template>3</template>y<script/>no</script>", ["xy"]),
+        ("<p>a<!-- x --!>b<!-->c<!--->d</p>", ["abcd"]),
         ("<a href='x>y'>z</a><br/>w<![CDATA[x]]>", ["z w"]),
         ("<p>" * 3000 + "x" + "<div>" * 3000 + "y", ["x", "y"]),
         ("", []),
@@ -326,7 +345,7 @@ def test_blocks_of_malformed_pages(html, want):
     assert [b.text for b in extract.blocks(html)] == want
 
 
-@pytest.mark.parametrize("piece", ["<a b=c ", '<a "x', '<a b="', '<a b=">" ', "</script ", "<!--", "<div>x", "<svg", "</div", "<p class='a", "&", "<script>", "= '", "<b>x</b>", "<li>a</p>"])
+@pytest.mark.parametrize("piece", ["<a b=c ", '<a "x', '<a b="', '<a b=">" ', "</script ", "<!--", "<div>x", "<svg", "<svg>", "<svg><svg/>", "<template>", "<template></template>", "<!-- --", "</div", "<p class='a", "&", "<script>", "= '", "<b>x</b>", "<li>a</p>"])
 def test_a_page_is_read_once_whatever_its_markup(piece):
     import time
 
