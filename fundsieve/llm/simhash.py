@@ -256,10 +256,13 @@ def near(x: Column, y: Column) -> Column:
 def led(keys: DataFrame) -> DataFrame:
     """key, id, f, first, near, n: each vertex of a key of n with the key's first, and whether they are near in 64 bits.
 
-    The first is a grouped minimum that is joined back, so a key that very many vertices share is split as the join is.
+    The first is a grouped minimum that is joined back; a task streams the vertices of a key and holds none.
     """
-    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.min_by("f", "id").alias("first_f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keys.join(first, "key").select("key", "id", "f", "first", near(F.col("f"), F.col("first_f")).alias("near"), "n")
+    first = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = keys.join(first, "key")
+    # the first's own row is already where the key's others are, so its bits need not come along with the minimum
+    rows = met.join(met.where("id - first = 0").select("key", F.col("f").alias("first_f")), "key")
+    rows = rows.select("key", "id", "f", "first", near(F.col("f"), F.col("first_f")).alias("near"), "n")
     return rows.where("n > 2 or (near and id <> first)")
 
 
