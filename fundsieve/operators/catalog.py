@@ -19,6 +19,7 @@ from . import latest as L
 from . import screen as S
 from . import serve as V
 from . import state as M
+from .ranks import durable
 
 Catalog = Mapping[str, DataFrame]
 
@@ -305,11 +306,12 @@ def export_bundle(spark: SparkSession, catalog: Catalog) -> dict[str, DataFrame]
 
 def smoke_check(spark: SparkSession, catalog: Catalog, custom: Sequence[tuple[str, float]] = (("equity_global", 60.0), ("short_govt_bonds", 40.0))) -> DataFrame:
     """check, ok: a bundle gives a list, facets, gold, rows of a custom mix and candidates by strict filters."""
-    page, total = list_funds(spark, catalog)
-    facets = filter_options(spark, catalog)["facets"]
-    funds = candidates(spark, catalog)
-    run = S.Run(funds)
-    picked = run.picked().select("bucket", "isin").persist()
+    # what several checks read is written once, so none of them carries the plan of the fund view or of all attempts
+    written = {name: durable(table(spark, catalog, name), name) for name in catalog}
+    page, total = list_funds(spark, written)
+    facets = filter_options(spark, written)["facets"]
+    funds = durable(candidates(spark, written), "candidates")
+    picked = durable(S.Run(funds).picked().select("bucket", "isin"), "picked")
     mixed = S.strategy_rows(S.custom_mix(spark, list(custom), whole=True), picked)
     one = lambda name, df: df.agg((F.count(F.lit(1)) > 0).alias("ok")).select(F.lit(name).alias("check"), "ok")
     positive = lambda name, df, c: df.select(F.lit(name).alias("check"), (F.col(c) > 0).alias("ok"))

@@ -87,3 +87,12 @@ def test_completeness_and_bundle(spark, catalog):
     assert counts == {"instrument": 5, "listing": 6, "product_profile": 2, "instrument_taxonomy": 5, "cost_snapshot": 2, "issuer": 3}
     ask = lambda c: K.list_funds(spark, c, q="alias")[0].select("isin", "ongoing_charges")
     assert V.parity(ask(catalog), ask(bundle)).count() == 0
+
+
+def test_a_bundle_is_checked_and_a_bare_one_fails(spark, catalog):
+    checks = lambda c: {r.check: r.ok for r in K.smoke_check(spark, c, (("gold", 100.0),)).collect()}
+    good = checks(K.export_bundle(spark, catalog))
+    assert set(good) == {"list", "total", "facets", "shortlist", "gold", "custom", "strict"}
+    assert {k for k, ok in good.items() if ok} >= {"list", "facets", "total"}
+    bare = checks({k: v.limit(0) for k, v in catalog.items()})
+    assert set(bare) == set(good) and not any(bare.values())
