@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 BLANK, PAGE, LARGEST_PAGE, LAST_OFFSET = "__blank__", 50, 250, 100_000
 NEEDLE_SPACE = " \t\n\r"
 
@@ -171,3 +173,23 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either that the other lacks; empty if both give the same answers."""
     b = b.select(*a.columns)
     return a.exceptAll(b).withColumn("only_in", F.lit("a")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("b")))
+
+
+def candidate_label(ticker: Column, isin: Column, fee: Column, venue: Column) -> Column:
+    """A candidate as `TICK (0.20%) | VENUE`; what is not known is left out, and the id stands for a missing ticker."""
+    name = F.coalesce(T.known_text(ticker), isin, F.lit(""))
+    left = F.when(fee.isNotNull(), F.concat(name, F.lit(" ("), T.show_percent(fee), F.lit(")"))).otherwise(name)
+    return F.concat_ws(" | ", left, T.known_text(venue))
+
+
+def bucket_tables(rows: DataFrame, bucket: str, order: str, label: Column) -> DataFrame:
+    """bucket, n, line: the labels of each bucket's candidates in order; rows hold as many as a report shows."""
+    told = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), label.alias("label"))))
+    return rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(told, lambda r: r["label"]), "; ").alias("line"))
+
+
+def mix_lines(rows: DataFrame, strategy: str, order: str, bucket: str, weight: str) -> DataFrame:
+    """strategy, line: the buckets of each strategy with their target weights in percent, as `60% equity global / ...`."""
+    named = F.concat(T.fixed(F.col(weight), 0), F.lit("% "), F.lower(F.replace(F.col(bucket), F.lit("_"), F.lit(" "))))
+    told = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), named.alias("label"))))  # as many as it has buckets
+    return rows.groupBy(strategy).agg(F.array_join(F.transform(told, lambda r: r["label"]), " / ").alias("line"))

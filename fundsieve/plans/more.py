@@ -144,8 +144,7 @@ def detail_row(spark, sf_dir):
 def bucket_table(spark, sf_dir):
     """The three candidates of each bucket as one line."""
     top = L.top_rows(bucketed(spark, sf_dir), ["bucket"], [F.col("p_retailprice"), F.col("p_partkey")], 3, "rank")
-    rows = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "p_partkey", "p_name").alias("label"))))
-    return top.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(rows, lambda r: r["label"]), "; ").alias("line"))
+    return V.bucket_tables(top, "bucket", "rank", F.concat_ws(" ", "p_partkey", "p_name"))
 
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE (p_retailprice, p_partkey) > (905.0, 50) ORDER BY p_retailprice, p_partkey LIMIT 50")

@@ -7,7 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import catalog as K
+from ..operators import extract as X
+from ..operators import latest as L
 from ..operators import readers as R
+from ..operators import serve as V
 from ..operators.ranks import shared_dir
 from ..sources.feeds import FeedSpec, read_feed
 from .catalogue import query, t
@@ -170,3 +173,51 @@ def feed_records(spark, sf_dir):
     files.select("file", said("All listings;\n\nISIN Code;Long  Name;Mnemonic;MIC\n", F.col("body")).alias("value")).repartition("file").write.partitionBy("file").text(path)
     spec = FeedSpec(";", "isin", {"isin": ["ISIN", "ISIN Code"], "instrument_name": ["Name", "Long Name"], "ticker": ["Mnemonic"], "venue_mic": ["MIC Code", "MIC"]})
     return read_feed(spark, f"{path}/*/*.txt", spec).select("isin", "instrument_name", "ticker", "venue_mic")
+
+
+@query(
+    """WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL), w AS (SELECT p_brand, p_type, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY p_brand) AS weight, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS place FROM c)
+    SELECT p_brand, string_agg(printf('%.0f', weight) || '% ' || lower(p_type), ' / ' ORDER BY place) AS line FROM w GROUP BY p_brand"""
+)
+def strategy_lines(spark, sf_dir):
+    """The mix of each brand as one line: its types by weight."""
+    counted = part(spark, sf_dir).groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.groupBy("p_brand").agg(F.sum("n").alias("all"))
+    rows = counted.join(whole, "p_brand").withColumn("weight", F.lit(100.0) * F.col("n") / F.col("all")).withColumn("place", F.struct(-F.col("n"), "p_type"))
+    return V.mix_lines(rows.withColumn("p_type", F.replace("p_type", F.lit(" "), F.lit("_"))), "p_brand", "place", "p_type", "weight")
+
+
+@query(
+    """WITH r AS (SELECT p_type, p_partkey, p_size, p_brand, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS place FROM part)
+    SELECT p_type, count(*) AS n, string_agg(CASE WHEN p_size % 3 = 0 THEN 'P' || p_partkey ELSE 'T' || p_size END || CASE WHEN p_size % 4 > 0 THEN ' (' || printf('%.2f', p_size / 8.0) || '%)' ELSE '' END || CASE WHEN p_size % 5 > 0 THEN ' | ' || p_brand ELSE '' END, '; ' ORDER BY place) AS line FROM r WHERE place <= 3 GROUP BY p_type"""
+)
+def candidate_lines(spark, sf_dir):
+    """The three candidates of each type as labels: ticker or id, fee, venue."""
+    top = L.top_rows(part(spark, sf_dir), ["p_type"], [F.col("p_retailprice"), F.col("p_partkey")], 3, "place")
+    ticker = F.when(SIZE % 3 == 0, F.lit(" unknown ")).otherwise(said("T", SIZE.cast("string")))
+    label = V.candidate_label(ticker, said("P", F.col("p_partkey").cast("string")), F.when(SIZE % 4 > 0, SIZE / 8), F.when(SIZE % 5 > 0, F.col("p_brand")).otherwise(""))
+    return V.bucket_tables(top, "p_type", "place", label)
+
+
+@query(
+    """SELECT p_partkey, 'IE00' || lpad(p_partkey::VARCHAR, 7, '0') || '1' AS isin, 'T' || p_size AS symbol, p_brand AS name, CASE p_size % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' END AS currency FROM part WHERE p_size % 7 > 0"""
+)
+def listings_of_tables(spark, sf_dir):
+    """Listings from tables with a header that names the columns, in either order, beside rows and tables of other kinds."""
+    isin = said("IE00", F.lpad(F.col("p_partkey").cast("string"), 7, "0"), "1")
+    money = F.when(SIZE % 3 == 0, "EUR").when(SIZE % 3 == 1, "USD").otherwise("GBX")
+    one = said("<table><tr><th>Instrument</th><th>ISIN code</th><th>Ticker</th><th>Currency</th></tr><tr><td>", F.col("p_brand"), "</td><td> ", F.lower(isin), " </td><td>T ", SIZE.cast("string"), "</td><td>", money, "</td></tr><tr><td>short</td></tr><tr><td>x</td><td>none</td><td>Y</td><td>EUR</td></tr></table>")
+    two = said("<table><tr><td>Mnemonic</td><td>ISIN</td><td>Trading currency</td><td>Name</td></tr><tr><td>T", SIZE.cast("string"), "</td><td><b>", isin, "</b></td><td>", money, "</td><td>", F.col("p_brand"), "</td></tr></table>")
+    other = said("<table><tr><td>Name</td><td>Symbol</td></tr><tr><td>", F.col("p_brand"), "</td><td>", isin, "</td></tr></table>")
+    html = F.when(SIZE % 7 == 0, other).when(SIZE % 2 == 0, said(other, one)).otherwise(two)
+    return X.listing_tables(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]*)"', 1), lambda x: regexp_replace(regexp_replace(x, '[?#].*$', ''), '/+$', '')))) AS link FROM pages), h AS (SELECT *, regexp_replace(regexp_extract(lower(link), '^https?://([^/:?#]+)', 1), '^www\.', '') AS host, regexp_matches(lower(link), '^https?://') AS web FROM l WHERE link <> '')
+    SELECT page_id, link, CASE WHEN NOT web THEN 'scheme' WHEN regexp_matches(host, '(^|\.)ads\.example$') THEN 'banned_domain' WHEN NOT regexp_matches(host, '(^|\.)example\.(com|org)$') THEN 'unknown_domain' WHEN NOT contains(lower(link), '.pdf') THEN 'not_a_document' WHEN NOT regexp_matches(lower(link), 'kid|factsheet') THEN 'no_keyword' END AS reason FROM h"""
+)
+def document_links(spark, sf_dir):
+    """Why each link of every page is no candidate for a document, if it is none."""
+    links = X.extract_links(t(spark, sf_dir, "pages"), "page_id", "html")
+    return X.score_links(links, "link", ["example.com", "example.org"], ["ads.example"], ["kid", "factsheet"]).select("page_id", "link", "reason")
