@@ -25,7 +25,8 @@ def part(spark, sf_dir):
     return t(spark, sf_dir, "part")
 
 
-SIZE = F.col("p_size")
+def size():
+    return F.col("p_size")
 
 
 @query(
@@ -37,19 +38,19 @@ SIZE = F.col("p_size")
 )
 def product_page_facts(spark, sf_dir):
     """Captioned facts of product pages, some of them broken: cells not closed, captions without data, repeated captions."""
-    day = (1 + SIZE % 9).cast("string")
-    percent = R.T.fixed(SIZE / 100, 2)
+    day = (1 + size() % 9).cast("string")
+    percent = R.T.fixed(size() / 100, 2)
     html = said(
-        F.when(SIZE % 6 > 0, said('<div class="product-data-item"><div class="caption">Total Expense Ratio <button>?</button></div><div class="data"><b>', percent, "</b> %</div></div>")).otherwise('<div class="caption">Total Expense Ratio</div><div class="data">n/a</div>'),
-        "<div><span class='caption net'>Net Assets <div class=\"as-of-date x\">as of 0", day, '/Feb/2026</div></span><span class="data">EUR ', SIZE.cast("string"), ",500</span></div>",
-        F.when(SIZE % 3 == 0, said('<div class="caption">Net Assets of Fund<i class="as-of-date">as of 2026-03-0', day, '</i></div><td class="col data">USD ', SIZE.cast("string"), ".250,75")).otherwise(""),
+        F.when(size() % 6 > 0, said('<div class="product-data-item"><div class="caption">Total Expense Ratio <button>?</button></div><div class="data"><b>', percent, "</b> %</div></div>")).otherwise('<div class="caption">Total Expense Ratio</div><div class="data">n/a</div>'),
+        "<div><span class='caption net'>Net Assets <div class=\"as-of-date x\">as of 0", day, '/Feb/2026</div></span><span class="data">EUR ', size().cast("string"), ",500</span></div>",
+        F.when(size() % 3 == 0, said('<div class="caption">Net Assets of Fund<i class="as-of-date">as of 2026-03-0', day, '</i></div><td class="col data">USD ', size().cast("string"), ".250,75")).otherwise(""),
         '<p class="caption">Benchmark Index</p><p class="other">no</p><p class="data">first</p><p class="caption"></p><p class="data">lost</p>',
-        '<p class="caption">Asset Class</p><p class="caption">Use of Income<div class="tip">why</div></p><p class="data">', F.when(SIZE % 2 == 1, "accumulating fund").otherwise(" "), "</p>",
+        '<p class="caption">Asset Class</p><p class="caption">Use of Income<div class="tip">why</div></p><p class="data">', F.when(size() % 2 == 1, "accumulating fund").otherwise(" "), "</p>",
         '<p class="caption">Benchmark Index</p><p class="data">', F.col("p_brand"), "</p>",
-        '<p class="caption">UCITS Compliant</p><p class="data">', F.when(SIZE % 3 == 0, "Yes").when(SIZE % 3 == 1, "no").otherwise("maybe"), "</p>",
-        F.when(SIZE % 4 == 1, '<p class="caption">Place of domicile</p><p class="data">Jersey</p><p class="caption">Domicile</p><p class="data">Ireland</p>').when(SIZE % 4 == 2, '<p class="caption">Place of domicile</p><p class="data">Jersey</p>').otherwise(""),
-        '<p class="caption">Replication Method</p><p class="data">', F.when(SIZE % 5 == 0, "Swap based").otherwise("Physical, all"), "</p>",
-        '<p class="caption">Currency Hedged</p><p class="data">', F.when(SIZE % 4 == 1, "Yes").when(SIZE % 4 == 2, "EUR hedged").when(SIZE % 4 == 3, "No").otherwise("Unhedged"), "</p>",
+        '<p class="caption">UCITS Compliant</p><p class="data">', F.when(size() % 3 == 0, "Yes").when(size() % 3 == 1, "no").otherwise("maybe"), "</p>",
+        F.when(size() % 4 == 1, '<p class="caption">Place of domicile</p><p class="data">Jersey</p><p class="caption">Domicile</p><p class="data">Ireland</p>').when(size() % 4 == 2, '<p class="caption">Place of domicile</p><p class="data">Jersey</p>').otherwise(""),
+        '<p class="caption">Replication Method</p><p class="data">', F.when(size() % 5 == 0, "Swap based").otherwise("Physical, all"), "</p>",
+        '<p class="caption">Currency Hedged</p><p class="data">', F.when(size() % 4 == 1, "Yes").when(size() % 4 == 2, "EUR hedged").when(size() % 4 == 3, "No").otherwise("Unhedged"), "</p>",
     )
     return R.product_facts(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
 
@@ -62,16 +63,16 @@ def product_page_facts(spark, sf_dir):
 )
 def tearsheet_page_facts(spark, sf_dir):
     """Facts of tear sheets by the grid of their tables, with cells that span rows and columns, and prose as fallback."""
-    n = SIZE.cast("string")
+    n = size().cast("string")
     row = lambda *p: said("<tr><th scope=row>", *p)
     html = said(
         '<table class="mod-ui-table"><tr><th colspan=3>Profile</th></tr>', row("ISIN</th><td colspan='2'>IE"), F.col("p_partkey").cast("string"), "</td><td>more</td></tr>",
-        row("Ongoing charge</th><td>"), R.T.fixed(SIZE / 10, 1), " %</td>", row("Income treatment</th><td>"), F.when(SIZE % 3 == 0, "Accumulation").when(SIZE % 3 == 1, "Income").otherwise("--"), "</td></tr>",
+        row("Ongoing charge</th><td>"), R.T.fixed(size() / 10, 1), " %</td>", row("Income treatment</th><td>"), F.when(size() % 3 == 0, "Accumulation").when(size() % 3 == 1, "Income").otherwise("--"), "</td></tr>",
         '<tr><th rowspan="2">Domicile</th><td>', F.col("p_brand"), "<td>x</td></tr><tr><th>Other</th><td>none</td></tr>",
-        row("Fund size</th><td>"), F.when(SIZE % 4 > 1, said(n, "bn GBP<br>As of Feb 1", (SIZE % 9).cast("string"), " 2026")).otherwise("--"), "</td></tr>",
-        row("Share class size</th><td>"), F.when(SIZE % 4 == 1, said(n, "m EUR")).when(SIZE % 4 > 1, "1 USD").otherwise(""), "</td></tr>",
-        F.when(SIZE % 4 == 0, row("Investment style (stocks)</th><td><span>Market Cap: Giant</span><br>Investment Style: Growth</td></tr>")).when(SIZE % 4 == 1, row("Investment style</th><td>Medium core</td></tr>")).otherwise(""),
-        "</table>", F.when(SIZE % 4 == 2, '<div class="mod-aside__module"><h3>Objective</h3> Small caps of good value.</div>').otherwise("<div><h3>Objective</h3> large</div>"),
+        row("Fund size</th><td>"), F.when(size() % 4 > 1, said(n, "bn GBP<br>As of Feb 1", (size() % 9).cast("string"), " 2026")).otherwise("--"), "</td></tr>",
+        row("Share class size</th><td>"), F.when(size() % 4 == 1, said(n, "m EUR")).when(size() % 4 > 1, "1 USD").otherwise(""), "</td></tr>",
+        F.when(size() % 4 == 0, row("Investment style (stocks)</th><td><span>Market Cap: Giant</span><br>Investment Style: Growth</td></tr>")).when(size() % 4 == 1, row("Investment style</th><td>Medium core</td></tr>")).otherwise(""),
+        "</table>", F.when(size() % 4 == 2, '<div class="mod-aside__module"><h3>Objective</h3> Small caps of good value.</div>').otherwise("<div><h3>Objective</h3> large</div>"),
     )
     return R.tearsheet_facts(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
 
@@ -84,15 +85,15 @@ def tearsheet_page_facts(spark, sf_dir):
 )
 def text_sheet_facts(spark, sf_dir):
     """Facts of fact sheets' texts: values by line before the whole text, amounts with scales, labelled fields."""
-    n, pct = SIZE.cast("string"), F.replace(R.T.fixed(SIZE / 100, 2), F.lit("."), F.lit(","))
+    n, pct = size().cast("string"), F.replace(R.T.fixed(size() / 100, 2), F.lit("."), F.lit(","))
     text = said(
-        F.when(SIZE % 2 == 0, "BOND\r\n").otherwise("Fund report\n"),
-        F.when(SIZE % 4 < 2, said("Management fees and other administrative or operating costs ", pct, " % of the value\n")).when(SIZE % 4 == 2, said("Total Expense\nRatio (TER) p.a. ", R.T.fixed(SIZE / 10, 1), "\n")).otherwise("Total Expense Ratio 900 %\n"),
-        F.when(SIZE % 3 == 0, "Type of shares: Capitalisation\n").when(SIZE % 3 == 1, "Income treatment\nDistribution\n").otherwise("Income treatment: other\n"),
-        F.when(SIZE % 4 == 0, "UCITS compliant: NO\nUCITS compliant: YES\n").when(SIZE % 4 == 1, "UCITS\ncompliant Yes\n").otherwise("none\n"),
-        "Fund structure : SICAV under LUXEMBOURG law\nReplication type : ", F.when(SIZE % 2 == 0, "Physical").otherwise("Synthétic swap"), "\nBenchmark : 100% ", F.col("p_brand"), " index\nFirst NAV 1 \n",
-        F.when(SIZE % 3 == 0, said("AUM as of : 1", (SIZE % 9).cast("string"), "/02/2026 Assets Under Management (AUM) : ", n, ".0 ( million EUR )")).when(SIZE % 3 == 1, said("Total Fund Assets : ", n, " (bn USD)")).otherwise(said("Total asset ", n, ",005 (CHF)")),
-        F.when(SIZE % 5 == 0, " Unhedged").when(SIZE % 5 == 1, " GBP Hedged").otherwise(""),
+        F.when(size() % 2 == 0, "BOND\r\n").otherwise("Fund report\n"),
+        F.when(size() % 4 < 2, said("Management fees and other administrative or operating costs ", pct, " % of the value\n")).when(size() % 4 == 2, said("Total Expense\nRatio (TER) p.a. ", R.T.fixed(size() / 10, 1), "\n")).otherwise("Total Expense Ratio 900 %\n"),
+        F.when(size() % 3 == 0, "Type of shares: Capitalisation\n").when(size() % 3 == 1, "Income treatment\nDistribution\n").otherwise("Income treatment: other\n"),
+        F.when(size() % 4 == 0, "UCITS compliant: NO\nUCITS compliant: YES\n").when(size() % 4 == 1, "UCITS\ncompliant Yes\n").otherwise("none\n"),
+        "Fund structure : SICAV under LUXEMBOURG law\nReplication type : ", F.when(size() % 2 == 0, "Physical").otherwise("Synthétic swap"), "\nBenchmark : 100% ", F.col("p_brand"), " index\nFirst NAV 1 \n",
+        F.when(size() % 3 == 0, said("AUM as of : 1", (size() % 9).cast("string"), "/02/2026 Assets Under Management (AUM) : ", n, ".0 ( million EUR )")).when(size() % 3 == 1, said("Total Fund Assets : ", n, " (bn USD)")).otherwise(said("Total asset ", n, ",005 (CHF)")),
+        F.when(size() % 5 == 0, " Unhedged").when(size() % 5 == 1, " GBP Hedged").otherwise(""),
     )
     return R.line_facts(part(spark, sf_dir).select("p_partkey", text.alias("text")), "p_partkey", "text")
 
@@ -109,12 +110,12 @@ def prose_facts(spark, sf_dir):
     intro = F.when(F.lit(False), "")
     for k, way in enumerate(ways):
         before, after = way.split("{}")
-        intro = intro.when(SIZE % 7 == k, said(before, name, after))
+        intro = intro.when(size() % 7 == k, said(before, name, after))
     text = said(
         intro.otherwise("Benchmark: a mix. "),
-        F.when(SIZE % 3 == 0, "A floating rate one, unhedged. ").when(SIZE % 3 == 1, "A money market one, JPY currency hedged. ").otherwise("A balanced one. "),
-        F.when(SIZE % 5 == 0, "This Irish based UCITS ").when(SIZE % 5 == 1, "regulated by the Commission de Surveillance du Secteur Financier ").when(SIZE % 5 == 2, "under the laws of the Netherlands ").otherwise("anywhere "),
-        F.when(SIZE % 4 == 0, "by a swap").when(SIZE % 4 == 1, "with direct replication").when(SIZE % 4 == 2, "invests directly in many of its constituents").otherwise("somehow"),
+        F.when(size() % 3 == 0, "A floating rate one, unhedged. ").when(size() % 3 == 1, "A money market one, JPY currency hedged. ").otherwise("A balanced one. "),
+        F.when(size() % 5 == 0, "This Irish based UCITS ").when(size() % 5 == 1, "regulated by the Commission de Surveillance du Secteur Financier ").when(size() % 5 == 2, "under the laws of the Netherlands ").otherwise("anywhere "),
+        F.when(size() % 4 == 0, "by a swap").when(size() % 4 == 1, "with direct replication").when(size() % 4 == 2, "invests directly in many of its constituents").otherwise("somehow"),
     )
     return R.prose_metadata(part(spark, sf_dir).select("p_partkey", text.alias("text")), "p_partkey", "text")
 
@@ -124,8 +125,8 @@ def prose_facts(spark, sf_dir):
 )
 def fees_of_pages(spark, sf_dir):
     """The fee of pages by labels in order, with the place of the label that won."""
-    pct = R.T.fixed(SIZE / 100, 2)
-    text = said("p", SIZE.cast("string"), " ", F.when(SIZE % 4 == 0, said("Ongoing charge 1 %, \n TER is  ", pct, " %")).when(SIZE % 4 == 1, said("TER 400 % Ongoing charges of ", pct, " %")).when(SIZE % 4 == 2, said("Total expense ratio <b>", pct, "</b> ", pct, "%")).otherwise("TER none"))
+    pct = R.T.fixed(size() / 100, 2)
+    text = said("p", size().cast("string"), " ", F.when(size() % 4 == 0, said("Ongoing charge 1 %, \n TER is  ", pct, " %")).when(size() % 4 == 1, said("TER 400 % Ongoing charges of ", pct, " %")).when(size() % 4 == 2, said("Total expense ratio <b>", pct, "</b> ", pct, "%")).otherwise("TER none"))
     rows = part(spark, sf_dir).select("p_partkey", R.page_fee(text).alias("f"))
     return rows.select("p_partkey", "f.rank", "f.place", "f.value")
 
@@ -137,8 +138,8 @@ def fees_of_pages(spark, sf_dir):
 )
 def search_terms(spark, sf_dir):
     """At most six search terms of each name."""
-    name = said(F.when(SIZE % 3 == 0, "iShs Core ").when(SIZE % 3 == 1, "ISHRS ").otherwise(""), F.col("p_name"), " & ", F.col("p_brand"), " UCT ETF Acc")
-    ticker = F.when(SIZE % 2 == 0, said(" t", SIZE.cast("string"), " "))
+    name = said(F.when(size() % 3 == 0, "iShs Core ").when(size() % 3 == 1, "ISHRS ").otherwise(""), F.col("p_name"), " & ", F.col("p_brand"), " UCT ETF Acc")
+    ticker = F.when(size() % 2 == 0, said(" t", size().cast("string"), " "))
     return part(spark, sf_dir).select("p_partkey", F.array_join(R.discovery_terms(said("ie", F.col("p_partkey").cast("string")), ticker, name), "|").alias("terms"))
 
 
@@ -150,7 +151,7 @@ def issuer_writes(spark, sf_dir):
     """What writing the issuers of instruments without one did, as observed in the write."""
     rows = part(spark, sf_dir).withColumn("instrument_id", F.col("p_partkey"))
     catalog = {
-        "instrument": rows.select("instrument_id", F.col("p_name").alias("instrument_name"), F.when(SIZE % 5 > 0, 1).cast("long").alias("issuer_id")),
+        "instrument": rows.select("instrument_id", F.col("p_name").alias("instrument_name"), F.when(size() % 5 > 0, 1).cast("long").alias("issuer_id")),
         "document": rows.where("p_partkey % 2 = 0").select("instrument_id", F.col("p_partkey").alias("document_id"), said("https://www.house-", (F.col("p_partkey") % 4).cast("string"), ".com/x.pdf").alias("url")),
         "instrument_url_map": rows.where("p_partkey % 3 = 0").select("instrument_id", F.lit("http://sub.house-1.com/y").alias("url")),
     }
@@ -166,7 +167,7 @@ def feed_records(spark, sf_dir):
     """A landed feed read back: late headers, quoted line ends, separators and quotes, columns by other names."""
     quoted = lambda c: said('"', F.replace(c, F.lit('"'), F.lit('""')), '"')
     name = said(F.col("p_name"), '\n"', F.col("p_brand"), '"; ', F.col("p_type"))
-    line = F.concat_ws(";", said("P", F.col("p_partkey").cast("string")), quoted(name), F.when(SIZE % 4 > 0, said("T", SIZE.cast("string"))).otherwise(" "), "p_type")
+    line = F.concat_ws(";", said("P", F.col("p_partkey").cast("string")), quoted(name), F.when(size() % 4 > 0, said("T", size().cast("string"))).otherwise(" "), "p_type")
     # files of 500 records at most, each with its own header below a title
     files = part(spark, sf_dir).select(F.floor(F.col("p_partkey") / 500).alias("file"), line.alias("line")).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("body"))
     path = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
@@ -194,8 +195,8 @@ def strategy_lines(spark, sf_dir):
 def candidate_lines(spark, sf_dir):
     """The three candidates of each type as labels: ticker or id, fee, venue."""
     top = L.top_rows(part(spark, sf_dir), ["p_type"], [F.col("p_retailprice"), F.col("p_partkey")], 3, "place")
-    ticker = F.when(SIZE % 3 == 0, F.lit(" unknown ")).otherwise(said("T", SIZE.cast("string")))
-    label = V.candidate_label(ticker, said("P", F.col("p_partkey").cast("string")), F.when(SIZE % 4 > 0, SIZE / 8), F.when(SIZE % 5 > 0, F.col("p_brand")).otherwise(""))
+    ticker = F.when(size() % 3 == 0, F.lit(" unknown ")).otherwise(said("T", size().cast("string")))
+    label = V.candidate_label(ticker, said("P", F.col("p_partkey").cast("string")), F.when(size() % 4 > 0, size() / 8), F.when(size() % 5 > 0, F.col("p_brand")).otherwise(""))
     return V.bucket_tables(top, "p_type", "place", label)
 
 
@@ -205,11 +206,11 @@ def candidate_lines(spark, sf_dir):
 def listings_of_tables(spark, sf_dir):
     """Listings from tables with a header that names the columns, in either order, beside rows and tables of other kinds."""
     isin = said("IE00", F.lpad(F.col("p_partkey").cast("string"), 7, "0"), "1")
-    money = F.when(SIZE % 3 == 0, "EUR").when(SIZE % 3 == 1, "USD").otherwise("GBX")
-    one = said("<table><tr><th>Instrument</th><th>ISIN code</th><th>Ticker</th><th>Currency</th></tr><tr><td>", F.col("p_brand"), "</td><td> ", F.lower(isin), " </td><td>T ", SIZE.cast("string"), "</td><td>", money, "</td></tr><tr><td>short</td></tr><tr><td>x</td><td>none</td><td>Y</td><td>EUR</td></tr></table>")
-    two = said("<table><tr><td>Mnemonic</td><td>ISIN</td><td>Trading currency</td><td>Name</td></tr><tr><td>T", SIZE.cast("string"), "</td><td><b>", isin, "</b></td><td>", money, "</td><td>", F.col("p_brand"), "</td></tr></table>")
+    money = F.when(size() % 3 == 0, "EUR").when(size() % 3 == 1, "USD").otherwise("GBX")
+    one = said("<table><tr><th>Instrument</th><th>ISIN code</th><th>Ticker</th><th>Currency</th></tr><tr><td>", F.col("p_brand"), "</td><td> ", F.lower(isin), " </td><td>T ", size().cast("string"), "</td><td>", money, "</td></tr><tr><td>short</td></tr><tr><td>x</td><td>none</td><td>Y</td><td>EUR</td></tr></table>")
+    two = said("<table><tr><td>Mnemonic</td><td>ISIN</td><td>Trading currency</td><td>Name</td></tr><tr><td>T", size().cast("string"), "</td><td><b>", isin, "</b></td><td>", money, "</td><td>", F.col("p_brand"), "</td></tr></table>")
     other = said("<table><tr><td>Name</td><td>Symbol</td></tr><tr><td>", F.col("p_brand"), "</td><td>", isin, "</td></tr></table>")
-    html = F.when(SIZE % 7 == 0, other).when(SIZE % 2 == 0, said(other, one)).otherwise(two)
+    html = F.when(size() % 7 == 0, other).when(size() % 2 == 0, said(other, one)).otherwise(two)
     return X.listing_tables(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
 
 
