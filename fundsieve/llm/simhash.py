@@ -258,6 +258,8 @@ def led(keys: DataFrame) -> DataFrame:
 
     The first is a grouped minimum that is joined back; a task streams the vertices of a key and holds none.
     """
+    # stated here, as tests for null that only one of the joins implies would keep them from sharing an exchange
+    keys = keys.where("key is not null and id is not null and f is not null")
     first = keys.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keys.join(first, "key")
     # the first's own row is already where the key's others are, so its bits need not come along with the minimum
