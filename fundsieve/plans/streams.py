@@ -11,7 +11,7 @@ from ..streaming import reconcile
 from .catalogue import query, t
 
 #: Micro-batches that the events come in; their bounds are times and lie within the days that are runs.
-SLICES = 6
+SLICES = 4
 
 
 @query(
