@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a monotonically increasing id that count within its partition.
 WITHIN = 33
+#: Rows of a table that one task takes where each row is dear.
+DEALT = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,16 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """A table's rows dealt out by keys to as many tasks as its rows ask for.
+
+    A row group of a file is read by one task, and a million short rows may be one: what is made of them would be made
+    and sorted there as well. Rows of a table as it is read are counted from its footers.
+    """
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // DEALT))
+    return table.repartition(tasks, *keys)
+
+
 def settled(df: DataFrame, **values: Column) -> DataFrame:
     """df with columns that are computed once a row, one after the other.
 

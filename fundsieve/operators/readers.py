@@ -68,7 +68,7 @@ def caption_facts(pages: DataFrame, key: str, html: str, keep: Sequence[str] = (
     kind = lambda p: F.lower(F.regexp_extract(p, rf"(?i)^<[a-z][a-z0-9]*\b[^>]*\bclass\s*=\s*[\"'](?:[^\"'>]*\s)?({kinds})(?=[\s\"'])", 1))
     own = lambda p: F.regexp_extract(p, r"(?is)^<([a-z][a-z0-9]*)\b[^>]*>(.*?)(?:</\1\s*>|$)", 2)
     inner = lambda p: F.regexp_replace(F.regexp_replace(p, r"^<[^>]*>", ""), r"(?is)<(button|div)\b[^>]*>.*?(?:</\1\s*>|$)", " ")
-    read = F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), plain(F.when(kind(p) == caption, inner(p)).otherwise(own(p))).alias("text")))
+    read = F.transform(parts, lambda p: T.let(kind(p), lambda k: F.struct(k.alias("kind"), F.when(k != "", plain(F.when(k == caption, inner(p)).otherwise(own(p)))).alias("text"))))
     none = F.lit(None).cast("string")
     start = F.struct(none.alias("caption"), none.alias("asof"), F.array().cast(FACTS).alias("found"))
 

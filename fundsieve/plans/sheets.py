@@ -11,7 +11,7 @@ from ..operators import extract as X
 from ..operators import latest as L
 from ..operators import readers as R
 from ..operators import serve as V
-from ..operators.ranks import shared_dir
+from ..operators.ranks import dealt, shared_dir
 from ..sources.feeds import FeedSpec, read_feed
 from .catalogue import query, t
 
@@ -25,6 +25,11 @@ def part(spark, sf_dir):
     return t(spark, sf_dir, "part")
 
 
+def sheets(spark, sf_dir):
+    """Parts, each of which stands for a sheet: reading one takes long, so they are dealt out to many tasks."""
+    return dealt(part(spark, sf_dir), "p_partkey")
+
+
 def size():
     return F.col("p_size")
 
@@ -52,7 +57,7 @@ def product_page_facts(spark, sf_dir):
         '<p class="caption">Replication Method</p><p class="data">', F.when(size() % 5 == 0, "Swap based").otherwise("Physical, all"), "</p>",
         '<p class="caption">Currency Hedged</p><p class="data">', F.when(size() % 4 == 1, "Yes").when(size() % 4 == 2, "EUR hedged").when(size() % 4 == 3, "No").otherwise("Unhedged"), "</p>",
     )
-    return R.product_facts(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return R.product_facts(sheets(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
 
 
 @query(
@@ -117,7 +122,7 @@ def prose_facts(spark, sf_dir):
         F.when(size() % 5 == 0, "This Irish based UCITS ").when(size() % 5 == 1, "regulated by the Commission de Surveillance du Secteur Financier ").when(size() % 5 == 2, "under the laws of the Netherlands ").otherwise("anywhere "),
         F.when(size() % 4 == 0, "by a swap").when(size() % 4 == 1, "with direct replication").when(size() % 4 == 2, "invests directly in many of its constituents").otherwise("somehow"),
     )
-    return R.prose_metadata(part(spark, sf_dir).select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return R.prose_metadata(sheets(spark, sf_dir).select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @query(
@@ -127,7 +132,7 @@ def fees_of_pages(spark, sf_dir):
     """The fee of pages by labels in order, with the place of the label that won."""
     pct = R.T.fixed(size() / 100, 2)
     text = said("p", size().cast("string"), " ", F.when(size() % 4 == 0, said("Ongoing charge 1 %, \n TER is  ", pct, " %")).when(size() % 4 == 1, said("TER 400 % Ongoing charges of ", pct, " %")).when(size() % 4 == 2, said("Total expense ratio <b>", pct, "</b> ", pct, "%")).otherwise("TER none"))
-    rows = part(spark, sf_dir).select("p_partkey", R.page_fee(text).alias("f"))
+    rows = sheets(spark, sf_dir).select("p_partkey", R.page_fee(text).alias("f"))
     return rows.select("p_partkey", "f.rank", "f.place", "f.value")
 
 
@@ -211,7 +216,7 @@ def listings_of_tables(spark, sf_dir):
     two = said("<table><tr><td>Mnemonic</td><td>ISIN</td><td>Trading currency</td><td>Name</td></tr><tr><td>T", size().cast("string"), "</td><td><b>", isin, "</b></td><td>", money, "</td><td>", F.col("p_brand"), "</td></tr></table>")
     other = said("<table><tr><td>Name</td><td>Symbol</td></tr><tr><td>", F.col("p_brand"), "</td><td>", isin, "</td></tr></table>")
     html = F.when(size() % 7 == 0, other).when(size() % 2 == 0, said(other, one)).otherwise(two)
-    return X.listing_tables(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return X.listing_tables(sheets(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
 
 
 @query(
