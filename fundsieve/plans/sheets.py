@@ -100,7 +100,7 @@ def text_sheet_facts(spark, sf_dir):
         F.when(size() % 3 == 0, said("AUM as of : 1", (size() % 9).cast("string"), "/02/2026 Assets Under Management (AUM) : ", n, ".0 ( million EUR )")).when(size() % 3 == 1, said("Total Fund Assets : ", n, " (bn USD)")).otherwise(said("Total asset ", n, ",005 (CHF)")),
         F.when(size() % 5 == 0, " Unhedged").when(size() % 5 == 1, " GBP Hedged").otherwise(""),
     )
-    return R.line_facts(part(spark, sf_dir).select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return R.line_facts(sheets(spark, sf_dir).select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @query(
