@@ -79,7 +79,7 @@ def tearsheet_page_facts(spark, sf_dir):
         F.when(size() % 4 == 0, row("Investment style (stocks)</th><td><span>Market Cap: Giant</span><br>Investment Style: Growth</td></tr>")).when(size() % 4 == 1, row("Investment style</th><td>Medium core</td></tr>")).otherwise(""),
         "</table>", F.when(size() % 4 == 2, '<div class="mod-aside__module"><h3>Objective</h3> Small caps of good value.</div>').otherwise("<div><h3>Objective</h3> large</div>"),
     )
-    return R.tearsheet_facts(part(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return R.tearsheet_facts(sheets(spark, sf_dir).select("p_partkey", html.alias("html")), "p_partkey", "html")
 
 
 @query(

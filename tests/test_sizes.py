@@ -25,6 +25,6 @@ def tasks(df):
     return df.select(F.spark_partition_id().alias("task")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["product_page_facts", "text_sheet_facts"])
+@pytest.mark.parametrize("name", ["product_page_facts", "tearsheet_page_facts", "text_sheet_facts"])
 def test_a_row_group_is_read_by_many_tasks(spark, table, name):
     assert tasks(catalogue.QUERIES[name](spark, table)) >= 15
