@@ -548,8 +548,12 @@ def discovery_terms(isin: Column, ticker: Column, name: Column, house: str = "IS
     for pattern, by in DISCOVERY_OPENED:
         opened = F.regexp_replace(opened, pattern, by)
     opened = folded(F.regexp_replace(opened, r"[^A-Z0-9$&+()/-]+", " "))
-    bare = folded(F.regexp_replace(opened, r"\b(?:" + "|".join(DISCOVERY_WORDS) + r")\b", " "))
-    with_house = F.when(bare != "", F.concat(F.lit(f"{house} "), bare))
-    with_core = F.when((bare != "") & ~F.contains(opened, F.lit("CORE")), F.concat(F.lit(f"{house} CORE "), bare))
-    terms = F.array(F.upper(F.trim(isin)), F.upper(T.squeeze(ticker)), T.squeeze(name), opened, bare, with_house, with_core)
-    return F.slice(F.array_distinct(F.filter(terms, lambda x: x.isNotNull() & (x != ""))), 1, MOST_TERMS)
+    bare = lambda o: folded(F.regexp_replace(o, r"\b(?:" + "|".join(DISCOVERY_WORDS) + r")\b", " "))
+
+    def terms(o, b):
+        with_house = F.when(b != "", F.concat(F.lit(f"{house} "), b))
+        with_core = F.when((b != "") & ~F.contains(o, F.lit("CORE")), F.concat(F.lit(f"{house} CORE "), b))
+        return F.array(F.upper(F.trim(isin)), F.upper(T.squeeze(ticker)), T.squeeze(name), o, b, with_house, with_core)
+
+    found = T.let(opened, lambda o: T.let(bare(o), lambda b: terms(o, b)))
+    return F.slice(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))), 1, MOST_TERMS)

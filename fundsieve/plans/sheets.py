@@ -145,7 +145,7 @@ def search_terms(spark, sf_dir):
     """At most six search terms of each name."""
     name = said(F.when(size() % 3 == 0, "iShs Core ").when(size() % 3 == 1, "ISHRS ").otherwise(""), F.col("p_name"), " & ", F.col("p_brand"), " UCT ETF Acc")
     ticker = F.when(size() % 2 == 0, said(" t", size().cast("string"), " "))
-    return part(spark, sf_dir).select("p_partkey", F.array_join(R.discovery_terms(said("ie", F.col("p_partkey").cast("string")), ticker, name), "|").alias("terms"))
+    return sheets(spark, sf_dir).select("p_partkey", F.array_join(R.discovery_terms(said("ie", F.col("p_partkey").cast("string")), ticker, name), "|").alias("terms"))
 
 
 @query(

@@ -25,6 +25,11 @@ def tasks(df):
     return df.select(F.spark_partition_id().alias("task")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["product_page_facts", "tearsheet_page_facts", "text_sheet_facts"])
+@pytest.mark.parametrize("name", ["product_page_facts", "search_terms", "tearsheet_page_facts", "text_sheet_facts"])
 def test_a_row_group_is_read_by_many_tasks(spark, table, name):
     assert tasks(catalogue.QUERIES[name](spark, table)) >= 15
+
+
+def test_a_name_is_opened_once(spark, table):
+    plan = catalogue.QUERIES["search_terms"](spark, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ISHRS\\b") == 1
