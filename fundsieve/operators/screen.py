@@ -1,7 +1,7 @@
 """Screening and ranked shortlists: hard filters, bucket matching, ranking, the ladder of fallbacks.
 
-Buckets and attempts are small tables, joined once to all rows and ranked once: every attempt of every bucket is
-computed in one job, then the attempt that counts is picked per bucket.
+Buckets and attempts are small tables, joined to all rows: every attempt of every bucket is counted in one job, and the
+rows of the attempt that counts are ranked per bucket.
 """
 
 from __future__ import annotations
@@ -286,7 +286,7 @@ def selection_reason(currencies: Sequence[str]) -> Column:
 
 
 class Run:
-    """A recommendation run over funds: every attempt of every bucket, ranked once.
+    """A recommendation run over funds: every attempt of every bucket counted in one job, those that count ranked.
 
     Rows of funds: the shortlist columns of the catalogue. Only rows on an attempt's venues take part; rows whose
     gold_policy_exception_flag is 1 are seen by the gold bucket only.
@@ -309,19 +309,16 @@ class Run:
         failed = reasons(hard_tests(F.col("spec_class") == "commodity", F.col("allow_fees"), allow_missing_currency))
         self.matched = rows.where(seen & matches()).where(F.size(failed) == 0).withColumn("preference", preference())
 
-    def ranked(self, top: int) -> DataFrame:
-        w = Window.partitionBy("bucket", "attempt").orderBy(*rank_keys(self.currencies))
-        return self.matched.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-
     def chosen(self) -> DataFrame:
-        """bucket, attempt: the first attempt with enough rows, else the last one."""
-        found = self.ranked(self.top).groupBy("bucket", "attempt").agg(F.count(F.lit(1)).alias("n"))
+        """bucket, attempt: the first attempt with enough rows, else the last one; rows are counted, not sorted."""
+        found = self.matched.groupBy("bucket", "attempt").agg(F.count(F.lit(1)).alias("n"))
         counts = self.ladder_df.select("bucket", "attempt").join(found, ["bucket", "attempt"], "left").na.fill(0, ["n"])
         return pick_attempt(counts, ["bucket"], min(self.top, NEEDED))
 
     def picked(self, top: int | None = None) -> DataFrame:
-        """The rows of each bucket's attempt that counts, with rank and selection_reason."""
-        out = self.ranked(top or self.top).join(F.broadcast(self.chosen()), ["bucket", "attempt"])
+        """The rows of each bucket's attempt that counts, with rank and selection_reason; those of other attempts are not sorted."""
+        w = Window.partitionBy("bucket", "attempt").orderBy(*rank_keys(self.currencies))
+        out = self.matched.join(F.broadcast(self.chosen()), ["bucket", "attempt"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (top or self.top))
         return out.withColumn("selection_reason", selection_reason(self.currencies)).drop("_match")
 
     def pre_rank(self) -> DataFrame:

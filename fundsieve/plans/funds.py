@@ -16,6 +16,7 @@ from ..operators import latest as L
 from ..operators import screen as S
 from ..operators import serve as V
 from ..operators import state as M
+from ..operators.ranks import dealt
 from .catalogue import query, t
 
 #: The fund relation in SQL: one row a part.
@@ -37,6 +38,10 @@ FUNDS = """f AS (SELECT p_partkey AS k, 'IE' || lpad(p_partkey::VARCHAR, 10, '0'
 
 
 def funds(spark, sf_dir) -> DataFrame:
+    return funds_of(t(spark, sf_dir, "part"))
+
+
+def funds_of(parts: DataFrame) -> DataFrame:
     """The same relation by DataFrame functions."""
     k, s = F.col("p_partkey"), F.col("p_size")
     first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
@@ -44,7 +49,7 @@ def funds(spark, sf_dir) -> DataFrame:
     of = lambda c, names: F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c)
     kinds = {"STANDARD": "equity", "ECONOMY": "equity", "SMALL": "bond", "LARGE": "bond", "PROMO": "commodity"}
     tail = of(s % 10, {1: " esg", 2: " mining", 3: " gold", 4: " small cap value", 5: " bullion"})
-    return t(spark, sf_dir, "part").select(
+    return parts.select(
         k.alias("instrument_id"),
         F.concat(F.lit("IE"), F.lpad(k.cast("string"), 10, "0")).alias("isin"),
         F.concat("p_name", F.coalesce(tail, F.lit(""))).alias("instrument_name"),
@@ -142,7 +147,8 @@ RUN = f"""{FUNDS}, b(bucket, kind2, spec_class, spec_region, spec_size, spec_sty
 
 
 def run(spark, sf_dir) -> S.Run:
-    return S.Run(funds(spark, sf_dir), selected=("XLON",), allow_missing_fees=True)
+    """A run over the funds, dealt out: a fund has a row for each attempt that it fits, which are sorted where it lies."""
+    return S.Run(funds_of(dealt(t(spark, sf_dir, "part"), "p_partkey")), selected=("XLON",), allow_missing_fees=True)
 
 
 @query(f"WITH {RUN} SELECT bucket, step, rank, isin, pref AS preference, fee FROM o")

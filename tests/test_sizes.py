@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundsieve.operators import ranks
-from fundsieve.plans import catalogue
+from fundsieve.plans import catalogue, funds
 
 
 @pytest.fixture
@@ -33,3 +33,9 @@ def test_a_row_group_is_read_by_many_tasks(spark, table, name):
 def test_a_name_is_opened_once(spark, table):
     plan = catalogue.QUERIES["search_terms"](spark, table)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ISHRS\\b") == 1
+
+
+def test_a_run_counts_without_sorting_and_sorts_what_counts(spark, table):
+    run = funds.run(spark, table)
+    assert tasks(run.matched) >= 15
+    assert "Window" not in run.chosen()._jdf.queryExecution().optimizedPlan().toString()
