@@ -13,6 +13,7 @@ from ..operators import latest as L
 from ..operators import screen as S
 from ..operators import serve as V
 from ..operators import state as M
+from ..operators.ranks import dealt
 from .catalogue import BAND_SQL, SPECS_SQL, bucketed, query, t
 
 
@@ -177,7 +178,7 @@ def part_names(spark, sf_dir):
     term = F.concat(low.cast("string"), F.lit("-"), (low + F.col("p_size") % 5).cast("string"), F.lit("Y"))
     first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     name = F.concat_ws(" ", of(brand, {str(i + 1): p for i, p in enumerate(PLACES)}), of(F.col("p_type"), KINDS), of(first, TRAITS), of(last, TOPICS), term)
-    return t(spark, sf_dir, "part").select("p_partkey", name.alias("instrument_name"), F.lit("ETF").alias("instrument_type"))
+    return dealt(t(spark, sf_dir, "part"), "p_partkey").select("p_partkey", name.alias("instrument_name"), F.lit("ETF").alias("instrument_type"))
 
 
 @query(

@@ -25,7 +25,7 @@ def tasks(df):
     return df.select(F.spark_partition_id().alias("task")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["product_page_facts", "search_terms", "tearsheet_page_facts", "text_sheet_facts"])
+@pytest.mark.parametrize("name", ["fund_taxonomy", "product_page_facts", "search_terms", "tearsheet_page_facts", "text_sheet_facts"])
 def test_a_row_group_is_read_by_many_tasks(spark, table, name):
     assert tasks(catalogue.QUERIES[name](spark, table)) >= 15
 
