@@ -39,3 +39,8 @@ def test_a_run_counts_without_sorting_and_sorts_what_counts(spark, table):
     run = funds.run(spark, table)
     assert tasks(run.matched) >= 15
     assert "Window" not in run.chosen()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_snapshot_sorts_its_rows_once(spark, table):
+    plan = catalogue.QUERIES["strategy_snapshot"](spark, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 1
