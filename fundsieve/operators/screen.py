@@ -370,6 +370,12 @@ def strategies(spark: SparkSession, mixes: Mapping[str, Sequence[tuple[str, floa
     return spark.createDataFrame(rows, "strategy string, bucket string, weight double")
 
 
+def held(mixes: Mapping[str, Sequence[tuple[str, float]]]) -> list[dict]:
+    """The specs of the buckets that strategies hold: a run for them need not match funds to any other bucket."""
+    names = {b for parts in mixes.values() for b, _ in parts}
+    return [s for s in buckets() if s["bucket"] in names]
+
+
 def strategy_rows(mixes: DataFrame, picked: DataFrame) -> DataFrame:
     """Each strategy's buckets with the funds picked for them; buckets are searched once, whoever uses them."""
     return mixes.join(picked, "bucket")

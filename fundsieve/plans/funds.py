@@ -146,9 +146,9 @@ RUN = f"""{FUNDS}, b(bucket, kind2, spec_class, spec_region, spec_size, spec_sty
     o AS (SELECT r.* FROM r JOIN p USING (bucket, attempt) WHERE rank <= 5)"""
 
 
-def run(spark, sf_dir) -> S.Run:
+def run(spark, sf_dir, specs=None) -> S.Run:
     """A run over the funds, dealt out: a fund has a row for each attempt that it fits, which are sorted where it lies."""
-    return S.Run(funds_of(dealt(t(spark, sf_dir, "part"), "p_partkey")), selected=("XLON",), allow_missing_fees=True)
+    return S.Run(funds_of(dealt(t(spark, sf_dir, "part"), "p_partkey")), specs, selected=("XLON",), allow_missing_fees=True)
 
 
 @query(f"WITH {RUN} SELECT bucket, step, rank, isin, pref AS preference, fee FROM o")
@@ -186,20 +186,20 @@ MIX_SQL = "mix(strategy, bucket, weight) AS (VALUES ('butterfly', 'equity_global
 @query(f"WITH {RUN}, {MIX_SQL} SELECT strategy, bucket, weight AS target_weight, rank, isin, 'T' || k AS ticker, (fee IS NULL)::INT AS fee_missing_flag, 0 AS currency_missing_flag FROM mix JOIN o USING (bucket)")
 def strategy_report(spark, sf_dir):
     """The report of two strategies: buckets are searched once, whoever uses them."""
-    rows = S.report_rows(S.strategies(spark, MIXES), run(spark, sf_dir))
+    rows = S.report_rows(S.strategies(spark, MIXES), run(spark, sf_dir, S.held(MIXES)))
     return rows.select("strategy", "bucket", "target_weight", "rank", "isin", "ticker", "fee_missing_flag", "currency_missing_flag")
 
 
 @query(f"WITH {RUN}, {MIX_SQL}, z AS (SELECT strategy, bucket, count(k) AS n FROM mix LEFT JOIN o USING (bucket) GROUP BY 1, 2) SELECT strategy, sum(n)::BIGINT AS total_rows_emitted, min(n) AS min_candidates_per_bucket FROM z GROUP BY 1")
 def strategy_emitted(spark, sf_dir):
     """How many rows a strategy gets, and its poorest bucket."""
-    return S.emitted(S.strategies(spark, MIXES), run(spark, sf_dir))
+    return S.emitted(S.strategies(spark, MIXES), run(spark, sf_dir, S.held(MIXES)))
 
 
 @query(f"WITH {RUN}, {MIX_SQL}, d AS (SELECT bucket, count(*) FILTER (WHERE n.attempt <= p.attempt) AS attempts, max(CASE WHEN n.attempt = p.attempt THEN step END) AS final_step, max(CASE WHEN n.attempt = p.attempt THEN hits END) AS hits FROM n JOIN p USING (bucket) GROUP BY 1) SELECT strategy, bucket, weight AS target_weight, attempts::INT AS attempts, final_step, least(hits, 5)::INT AS rows FROM mix JOIN d USING (bucket)")
 def strategy_snapshot(spark, sf_dir):
     """The nested snapshot of strategies, opened again."""
-    rows = S.snapshot(S.strategies(spark, MIXES), run(spark, sf_dir)).select("strategy", F.explode("buckets").alias("b"))
+    rows = S.snapshot(S.strategies(spark, MIXES), run(spark, sf_dir, S.held(MIXES))).select("strategy", F.explode("buckets").alias("b"))
     return rows.select("strategy", "b.bucket", "b.target_weight", F.size("b.attempts").alias("attempts"), "b.final_step", F.when(F.col("b.rows").isNull(), 0).otherwise(F.size("b.rows")).alias("rows"))
 
 

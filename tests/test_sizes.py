@@ -44,3 +44,30 @@ def test_a_run_counts_without_sorting_and_sorts_what_counts(spark, table):
 def test_a_snapshot_sorts_its_rows_once(spark, table):
     plan = catalogue.QUERIES["strategy_snapshot"](spark, table)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [row_number") == 1
+
+
+@pytest.mark.parametrize("name", ["strategy_emitted", "strategy_report", "strategy_snapshot"])
+def test_strategies_match_funds_to_their_own_buckets_only(spark, table, monkeypatch, name):
+    runs, run = [], funds.run
+    monkeypatch.setattr(funds, "run", lambda *args: runs.append(run(*args)) or runs[-1])
+    catalogue.QUERIES[name](spark, table)
+    tried = {r.bucket for r in runs[0].ladder_df.collect()}
+    assert tried == {bucket for parts in funds.MIXES.values() for bucket, _ in parts}
+
+
+def test_a_run_for_strategies_diagnoses_and_picks_as_one_over_all_buckets(spark, table):
+    every, own = funds.run(spark, table), funds.run(spark, table, funds.S.held(funds.MIXES))
+    names = [s["bucket"] for s in own.specs]
+    rows = lambda df: sorted(map(str, df.where(F.col("bucket").isin(names)).collect()))
+    assert rows(own.attempt_counts()) == rows(every.attempt_counts())
+    shown = ("bucket", "attempt", "rank", "isin", "selection_reason")
+    assert rows(own.picked().select(*shown)) == rows(every.picked().select(*shown)) != []
+
+
+def test_a_task_of_a_snapshot_sorts_no_more_rows_of_a_larger_table(spark, table, tmp_path):
+    rows = lambda: funds.run(spark, table, funds.S.held(funds.MIXES)).matched.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    few, part = rows(), spark.read.parquet(f"{table}/part.parquet")
+    more = part.crossJoin(spark.range(4)).withColumn("p_partkey", F.col("p_partkey") * 4 + F.col("id")).drop("id")
+    table = str(tmp_path / "more")
+    more.coalesce(1).write.parquet(f"{table}/part.parquet")
+    assert rows() <= 3 * few
